@@ -17,7 +17,7 @@ from linewright.options import MatchOptions
 from linewright.session import materialize
 
 HOT_ROWS = 20_000  # postings of one key beyond this are split over several tasks
-FLOORS = (0.4, 0.2)  # scores that may already fill the list of a query
+FLOORS = (0.35,)  # a score that may already fill the list of a query
 
 NAME_FACTOR, DOCUMENT_FACTOR = 0.8, 0.5
 

@@ -287,8 +287,10 @@ def with_cost(calls: DataFrame, prices: DataFrame, default: tuple[float, float]
     best = exact.union(close).groupBy("model").agg(F.min_by("price", "ord").alias("_price"))
     prompt = F.coalesce("_price.prompt_price", F.lit(default[0]))
     completion = F.coalesce("_price.completion_price", F.lit(default[1]))
-    cost = (F.col("prompt_tokens") * prompt + F.col("completion_tokens") * completion) / 1_000_000
-    return calls.join(best, "model", "left").withColumn("estimated_cost_usd", F.round(cost, 6)).drop("_price")
+    # prices are per million tokens, so the sum is in millionths of a dollar
+    micros = F.round(F.col("prompt_tokens") * prompt + F.col("completion_tokens") * completion, 4)
+    cost = F.round(micros) / 1_000_000
+    return calls.join(best, "model", "left").withColumn("estimated_cost_usd", cost).drop("_price")
 
 
 def token_log(calls: DataFrame, prices: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from checks import catalog, reports  # noqa: F401
+from checks import catalog, matching, reports  # noqa: F401
 from checks.common import ORACLES, QUERIES  # noqa: F401

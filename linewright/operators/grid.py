@@ -224,7 +224,7 @@ def supplier_name(text: Column) -> Column:
     out = F.lit(None).cast("string")
     for pattern, group in reversed(SUPPLIER_PATTERNS):
         out = F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group)).otherwise(out)
-    return F.trim(F.lit("\"'«»"), F.trim(out))
+    return F.trim(F.trim(out), F.lit("\"'«»"))
 
 
 def supplier_names(cells: DataFrame, headed: DataFrame) -> DataFrame:

@@ -141,7 +141,7 @@ def ensure_suppliers(names: DataFrame, suppliers: DataFrame) -> DataFrame:
         F.min_by("supplier_name", F.struct("supplier_id")).alias("known_name"),
     )
     joined = wanted.join(known, "key", "left")
-    slug = F.trim(F.lit("-"), F.regexp_replace("key", "[^a-z0-9]+", "-"))
+    slug = F.trim(F.regexp_replace("key", "[^a-z0-9]+", "-"), F.lit("-"))
     fresh = (
         joined.filter("known_id is null")
         .groupBy("key")

@@ -103,7 +103,7 @@ def d4(spark, sf):
 WITH p AS (SELECT a.vec_id AS query_id, 'P' || b.vec_id AS product_id,
   round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS sem_score
   FROM embeddings a, embeddings b WHERE b.label <> 3)
-SELECT query_id, product_id, round(sem_score, 6) AS sem_score, sem_rank FROM (
+SELECT query_id, product_id, sem_score, sem_rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sem_score DESC, product_id) AS sem_rank FROM p) WHERE sem_rank <= 200""")
 def d5(spark, sf):
     e = table(spark, sf, "embeddings")
@@ -111,7 +111,7 @@ def d5(spark, sf):
     queries = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     live = e.select(product, (F.col("label") != 3).alias("is_active"))
     found = R.semantic_matches(queries, e.select(product, F.col("embedding").alias("vector")), live)
-    return found.withColumn("sem_score", F.round("sem_score", 6)).withColumn("sem_rank", F.col("sem_rank").cast("bigint"))
+    return found.withColumn("sem_rank", F.col("sem_rank").cast("bigint"))
 
 
 FUSED = """exact AS (SELECT DISTINCT q.q, product_id FROM q JOIN part ON q.q = p_name || ' ' || p_size JOIN catalog c ON c.code = 'C' || p_name WHERE is_active),

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from checks import catalog, matching, reports, texts  # noqa: F401
+from checks import catalog, grids, matching, reports, streams, texts  # noqa: F401
 from checks.common import ORACLES, QUERIES  # noqa: F401

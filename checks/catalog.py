@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.common import CATALOG, ITEMS, LOG, REQUESTS, calls, catalog, items, log, query, requests, seconds, table, text, with_sql
+from checks.grids import CELLS, grid_cells
 from linewright.functions import dictionaries as D
 from linewright.operators import catalog as C
 from linewright.operators import mappings as M
@@ -62,17 +63,11 @@ def a3(spark, sf):
     return catalog_files.clean_rows(raw)
 
 
-@query("A4_grid_cells", """
-WITH lines AS (SELECT doc_id, list_filter(string_split_regex(text, '\\r?\\n|\\r'), lambda l: trim(l) <> '') AS ls FROM documents WHERE NOT contains(text, '"')),
-f AS (SELECT doc_id, list_transform(ls, lambda l: string_split(l, ',')) AS fs FROM lines),
-good AS (SELECT doc_id, list_filter(fs, lambda x: len(x) <= len(fs[1])) AS gs FROM f),
-r AS (SELECT doc_id, unnest(gs) AS g, unnest(range(len(gs))) AS row FROM good),
-c AS (SELECT doc_id, row, unnest(g) AS value, unnest(range(len(g))) AS col FROM r)
+@query("A4_grid_cells", with_sql(CELLS, body="""
 SELECT CAST(doc_id AS VARCHAR) AS file_id, count(*) AS cells, CAST(max(row) AS INTEGER) AS last_row, CAST(max(col) AS INTEGER) AS last_col,
-  count(*) FILTER (trim(value) <> '') AS filled, CAST(sum(length(value)) FILTER (trim(value) <> '') AS BIGINT) AS chars FROM c GROUP BY 1""")
+  count(value) AS filled, CAST(sum(length(value)) AS BIGINT) AS chars FROM cells GROUP BY 1"""))
 def a4(spark, sf):
-    docs = table(spark, sf, "documents").filter(~F.contains("text", F.lit('"'))).select(text("doc_id").alias("file_id"), "text")
-    return grids.text_cells(docs, ",").groupBy("file_id").agg(
+    return grid_cells(spark, sf).groupBy("file_id").agg(
         F.count("*").alias("cells"), F.max("row").alias("last_row"), F.max("col").alias("last_col"),
         F.count("value").alias("filled"), F.sum(F.length("value")).alias("chars"),
     )

@@ -9,6 +9,7 @@ from linewright.functions import dictionaries as D
 from linewright.operators import grid as G
 from linewright.plans.ingest import items_as_catalog
 from linewright.operators import catalog as C
+from linewright.session import materialize
 from linewright.sources.grids import text_cells
 
 # some words of the prose become header and hint words
@@ -58,8 +59,8 @@ types AS (SELECT *, CASE WHEN {_any("coalesce(header, 'nan')", D.NAME_WORDS)} TH
   WHEN {_any("coalesce(header, 'nan')", D.ARTICLE_WORDS)} THEN 'article' WHEN n = 0 THEN 'other' WHEN num / n > 0.8 THEN CASE WHEN mv > 10 THEN 'price' ELSE 'number' END WHEN ml > 15 THEN 'name'
   WHEN ml < 5 THEN CASE WHEN longest < 8 THEN 'unit' ELSE 'article' END ELSE 'other' END AS column_type FROM facts),
 longest AS (SELECT doc_id, region, arg_min(col, {{'l': -ml, 'c': col}}) AS longest_col FROM (SELECT r.doc_id, r.region, r.col, avg(length(value)) AS ml FROM rc r JOIN headed h ON r.doc_id = h.doc_id AND r.region = h.region AND r.row > header_row GROUP BY 1, 2, 3) GROUP BY 1, 2),
-named AS (SELECT h.*, coalesce(min(t.col) FILTER (column_type = 'name'), any_value(longest_col), col_start) AS name_col, min(t.col) FILTER (column_type = 'unit') AS unit_col, min(t.col) FILTER (column_type = 'price') AS price_col
-  FROM headed h LEFT JOIN types t USING (doc_id, region) LEFT JOIN longest USING (doc_id, region) GROUP BY ALL),
+named AS (SELECT h.doc_id, h.region, h.col_start, h.col_end, h.header_row, coalesce(min(t.col) FILTER (column_type = 'name'), any_value(longest_col), any_value(h.col_start)) AS name_col, min(t.col) FILTER (column_type = 'unit') AS unit_col, min(t.col) FILTER (column_type = 'price') AS price_col
+  FROM headed h LEFT JOIN types t USING (doc_id, region) LEFT JOIN longest USING (doc_id, region) GROUP BY 1, 2, 3, 4, 5),
 roles AS (SELECT h.doc_id, h.region, CASE WHEN NOT bool_or({_any("lower(coalesce(value, ''))", D.SUPPLIER_WORDS)}) AND bool_or({_any("lower(coalesce(value, ''))", D.CATALOG_WORDS)}) THEN 'catalog_reference' ELSE 'supplier_input' END AS role
   FROM headed h LEFT JOIN rc r ON r.doc_id = h.doc_id AND r.region = h.region AND r.row BETWEEN header_row - 3 AND header_row GROUP BY 1, 2)"""
 
@@ -72,16 +73,16 @@ items AS (SELECT doc_id, region, row, raw_text, CASE WHEN unit <> '' AND lower(u
   FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, region, lower(raw_text) ORDER BY row) AS k FROM kept) WHERE k = 1)"""
 
 
-def _cells(spark, sf):
+def grid_cells(spark, sf):
     column = F.col("text")
     for old, new in SWAPS:
         column = F.replace(column, F.lit(old), F.lit(new))
     docs = table(spark, sf, "documents").select(text("doc_id").alias("file_id"), column.alias("text"))
-    return text_cells(docs, ",")
+    return materialize(text_cells(docs, ","), "cells")
 
 
 def _regions(spark, sf):
-    cells = _cells(spark, sf)
+    cells = grid_cells(spark, sf)
     return cells, G.header_rows(cells, G.column_groups(cells))
 
 
@@ -92,24 +93,24 @@ FILE = "CAST(doc_id AS VARCHAR) AS file_id, CAST(region AS INTEGER) AS region"
 SELECT source AS file_id, arg_min(CAST(doc_id AS VARCHAR), {'s': -filled * height, 'd': CAST(doc_id AS VARCHAR)}) AS sheet, max(filled * height) AS score FROM sizes JOIN documents USING (doc_id) GROUP BY 1"""))
 def g1(spark, sf):
     source = table(spark, sf, "documents").select(text("doc_id").alias("sheet"), "source")
-    cells = _cells(spark, sf).drop("sheet").withColumnRenamed("file_id", "sheet").join(source, "sheet").withColumnRenamed("source", "file_id")
+    cells = grid_cells(spark, sf).drop("sheet").withColumnRenamed("file_id", "sheet").join(source, "sheet").withColumnRenamed("source", "file_id")
     return G.best_sheets(cells)
 
 
 @query("G2_column_gaps", with_sql(CELLS, body="SELECT CAST(doc_id AS VARCHAR) AS file_id, CAST(col AS INTEGER) AS col FROM colgap"))
 def g2(spark, sf):
-    return G.column_gaps(_cells(spark, sf)).drop("sheet")
+    return G.column_gaps(grid_cells(spark, sf)).drop("sheet")
 
 
 @query("G3_row_gaps", with_sql(CELLS, """rows_ AS (SELECT doc_id, width, unnest(range(height)) AS row FROM sizes)""", body="""
 SELECT CAST(doc_id AS VARCHAR) AS file_id, CAST(row AS INTEGER) AS row FROM rows_ LEFT JOIN (SELECT doc_id, row, count(value) AS n FROM cells GROUP BY 1, 2) USING (doc_id, row) WHERE (width - coalesce(n, 0)) / width >= 0.85"""))
 def g3(spark, sf):
-    return G.row_gaps(_cells(spark, sf)).drop("sheet")
+    return G.row_gaps(grid_cells(spark, sf)).drop("sheet")
 
 
 @query("G4_column_groups", with_sql(CELLS, body=f"SELECT {FILE}, CAST(col_start AS INTEGER) AS col_start, CAST(col_end AS INTEGER) AS col_end FROM groups"))
 def g4(spark, sf):
-    return G.column_groups(_cells(spark, sf)).drop("sheet")
+    return G.column_groups(grid_cells(spark, sf)).drop("sheet")
 
 
 @query("G5_header_rows", with_sql(CELLS, analysis(), body=f"SELECT {FILE}, CAST(header_row AS INTEGER) AS header_row FROM headed"))
@@ -160,14 +161,14 @@ target AS (SELECT h.doc_id, h.region, h.header_row, coalesce(min(col) FILTER ({_
 
 @query("G11_target_column", with_sql(CELLS, WHOLE, analysis("whole"), TARGET, body="SELECT CAST(doc_id AS VARCHAR) AS file_id, CAST(header_row AS INTEGER) AS header_row, CAST(name_col AS INTEGER) AS name_col FROM target"))
 def g11(spark, sf):
-    cells = _cells(spark, sf)
+    cells = grid_cells(spark, sf)
     headed = G.header_rows(cells, G.whole_sheets(cells))
     return G.target_columns(cells, headed).select("file_id", "header_row", "name_col")
 
 
 @query("G12_single_table_items", with_sql(CELLS, WHOLE, analysis("whole"), TARGET, items_sql("target"), body="SELECT CAST(doc_id AS VARCHAR) AS file_id, CAST(row AS VARCHAR) AS line_id, raw_text FROM items"))
 def g12(spark, sf):
-    return G.single_table_items(_cells(spark, sf)).select("file_id", "line_id", "raw_text")
+    return G.single_table_items(grid_cells(spark, sf)).select("file_id", "line_id", "raw_text")
 
 
 SPEC = """specs AS (SELECT doc_id, 1 AS region, 0 AS col_start, 27 AS col_end, 0 AS header_row, 0 AS name_col, 1 AS unit_col, CAST(NULL AS BIGINT) AS price_col, CASE WHEN lang = 'en' THEN 'catalog_reference' ELSE 'supplier_input' END AS role FROM documents),
@@ -188,7 +189,7 @@ def _specified(spark, sf):
 SELECT CAST(doc_id AS VARCHAR) AS file_id, role, CAST(row AS VARCHAR) AS line_id, raw_text, unit FROM items JOIN specs USING (doc_id, region)"""))
 def g13(spark, sf):
     regions = _specified(spark, sf)
-    found = G.region_items(_cells(spark, sf), regions)
+    found = G.region_items(grid_cells(spark, sf), regions)
     return found.join(regions.select(*G.REGION, "role"), G.REGION).select("file_id", "role", "line_id", "raw_text", "unit")
 
 
@@ -196,11 +197,11 @@ def g13(spark, sf):
 SELECT CAST(g.doc_id AS VARCHAR) AS file_id, g.n AS tables_detected, coalesce(s, 0) AS supplier_items, coalesce(c, 0) AS catalog_items FROM (SELECT doc_id, count(*) AS n FROM groups GROUP BY 1) g
 LEFT JOIN (SELECT doc_id, count(*) FILTER (role = 'supplier_input') AS s, count(*) FILTER (role = 'catalog_reference') AS c FROM items JOIN roles USING (doc_id, region) GROUP BY 1) USING (doc_id)"""))
 def g14(spark, sf):
-    return G.file_summary(*G.analyze(_cells(spark, sf))).select("file_id", "tables_detected", "supplier_items", "catalog_items")
+    return G.file_summary(*G.analyze(grid_cells(spark, sf))).select("file_id", "tables_detected", "supplier_items", "catalog_items")
 
 
 @query("C13_catalog_from_sheets", with_sql(CELLS, analysis(), items_sql("named"), body="""
 SELECT 'prd_' || substr(sha256('{"article": null, "brand": null, "code": null, "name": ' || to_json(raw_text) || '}'), 1, 16) AS product_id, raw_text AS name, unit, raw_text AS search_document FROM items JOIN roles USING (doc_id, region) WHERE role = 'catalog_reference'"""))
 def c13(spark, sf):
-    _, items = G.analyze(_cells(spark, sf))
+    _, items = G.analyze(grid_cells(spark, sf))
     return C.transform_items(items_as_catalog(items)).select("product_id", "name", "unit", "search_document")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from linewright.functions import dictionaries as D
 from linewright.functions.similarity import let
+from linewright.session import materialize
 
 SHEET = ["file_id", "sheet"]
 REGION = [*SHEET, "region"]
@@ -382,12 +383,17 @@ def specified_regions(specs: DataFrame) -> DataFrame:
 
 
 def analyze(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Regions with columns, role and supplier name, and the items they hold."""
-    headed = header_rows(cells, column_groups(cells))
-    regions = (
+    """Regions with columns, role and supplier name, and the items they hold.
+
+    Cells and headers are read by many of the steps, so both are written once.
+    """
+    cells = materialize(cells, "cells")
+    headed = materialize(header_rows(cells, column_groups(cells)), "headers")
+    regions = materialize(
         region_columns(cells, headed)
         .join(region_roles(cells, headed), REGION)
-        .join(supplier_names(cells, headed), REGION, "left")
+        .join(supplier_names(cells, headed), REGION, "left"),
+        "regions",
     )
     items = region_items(cells, regions).join(regions.select(*REGION, "role"), REGION)
     return regions, items

@@ -20,13 +20,24 @@ def vote_delimiter(text: Column) -> Column:
 
 
 def split_fields(line: Column, sep: Column) -> Column:
-    """Fields of a delimited line; separators inside double quotes do not count."""
-    pattern = F.concat(F.lit(r"\Q"), sep, F.lit(r'\E(?=(?:[^"]*"[^"]*")*[^"]*$)'))
-    fields = F.split(line, pattern)
+    """Fields of a delimited line; a separator inside double quotes does not count.
+
+    A separator counts when an even number of quotes follows it.
+    """
+    literal = F.concat(F.lit(r"\Q"), sep, F.lit(r"\E"))
+    pieces = F.split(line, '"')
+    marked = F.array_join(
+        F.transform(
+            pieces,
+            lambda p, i: F.when((F.size(pieces) - i) % 2 == 1, F.replace(p, sep, F.lit("\x01"))).otherwise(p),
+        ),
+        '"',
+    )
     unquote = lambda f: F.when(
         f.rlike(r'(?s)^\s*".*"\s*$'), F.replace(F.regexp_extract(f, r'(?s)^\s*"(.*)"\s*$', 1), F.lit('""'), F.lit('"'))
     ).otherwise(f)
-    return F.transform(fields, unquote)
+    quoted = F.transform(F.split(marked, "\x01"), unquote)
+    return F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, literal))
 
 
 def text_cells(texts: DataFrame, sep: str | None = None) -> DataFrame:

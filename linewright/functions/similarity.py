@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
+from linewright.functions.text import let
+
 
 def alphanumeric_words(text: Column) -> Column:
     return F.filter(
@@ -29,11 +29,6 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(alphanumeric_words(text), of_word)))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` worked out once, however often it is used."""
-    return F.transform(F.array(value), body)[0]
-
-
 def jaccard(left: Column, right: Column) -> Column:
     """Shared share of two arrays without repeats; 0 when both are empty."""
 

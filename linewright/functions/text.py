@@ -6,8 +6,10 @@ Java regular expressions are ASCII-only by default; every pattern here carries
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -30,6 +32,11 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t.isascii() else unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` worked out once, however often it is used."""
+    return F.transform(F.array(value), body)[0]
+
+
 def java_replacement(text: str) -> str:
     return re.sub(r"([\\$])", r"\\\1", text)
 
@@ -50,27 +57,63 @@ def words(text: Column) -> Column:
 
 
 def _entries(rows: list[dict[str, str]]) -> Column:
-    return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in row.items()]) for row in rows])
+    """A dictionary as one constant array of structs; Catalyst folds it at planning time."""
+    fields = ", ".join(f"{name}: string" for name in rows[0])
+    return F.from_json(F.lit(json.dumps(rows, ensure_ascii=False)), f"array<struct<{fields}>>")
 
 
-def replace_bounded(text: Column, table: dict[str, str]) -> Column:
-    """Replace dictionary keys that stand alone, longest first, one after another.
+def _letter_runs(text: str) -> list[str]:
+    return re.findall(r"[^\W\d_]+", text.lower())
+
+
+def _by_run(rows: list[dict[str, str]]) -> dict[str, list[dict[str, str]]]:
+    """Entries to try for each run of letters a text holds.
 
-    A literal array is folded over the text; the cheap ``contains`` test keeps
-    the regular expressions away from keys that are not there.
+    A key can only match where its first run of letters stands as a whole run,
+    in the text or in the target of an entry applied before. So each run leads
+    to its own entries and to those that their targets can set off.
     """
-    entries = _entries(
-        [
-            {"key": key.lower(), "pattern": bounded(key), "target": java_replacement(target)}
-            for key, target in D.longest_first(table)
-        ]
+    first = [(_letter_runs(row["key"]) or [""])[0] for row in rows]
+    starts: dict[str, set[int]] = {}
+    for i, run in enumerate(first):
+        starts.setdefault(run, set()).add(i)
+    out = {}
+    for run in starts:
+        found, open_ = set(), {run}
+        while open_:
+            new = set().union(*(starts.get(r, set()) for r in open_)) - found
+            found |= new
+            open_ = {r for i in new for r in _letter_runs(rows[i]["target"])}
+        out[run] = [{"ord": f"{i:04d}", **rows[i]} for i in sorted(found)]
+    return out
+
+
+def _fold(text: Column, rows: list[dict[str, str]], start: Column, step, finish=None) -> Column:
+    """Fold the dictionary entries that can matter for a text over ``start``, in order.
+
+    Of some hundred entries a text usually needs none or a few; they are looked
+    up by the letter runs of the text in one constant map.
+    """
+    by_run = _by_run(rows)
+    fields = ", ".join(f"{name}: string" for name in ["ord", *rows[0]])
+    table = F.from_json(
+        F.lit(json.dumps(by_run, ensure_ascii=False)), f"map<string, array<struct<{fields}>>>"
     )
-    return F.aggregate(
-        entries,
-        text,
-        lambda t, e: F.when(
-            F.contains(F.lower(t), e["key"]), F.regexp_replace(t, e["pattern"], e["target"])
-        ).otherwise(t),
+    known = F.from_json(F.lit(json.dumps(sorted(by_run), ensure_ascii=False)), "array<string>")
+    runs = F.concat(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0)), F.array(F.lit("")))
+    entries = F.flatten(F.transform(F.array_intersect(runs, known), lambda r: table[r]))
+    ordered = F.array_sort(F.array_distinct(entries))
+    return F.aggregate(ordered, start, step, finish)
+
+
+def replace_bounded(text: Column, table: dict[str, str]) -> Column:
+    """Replace dictionary keys that stand alone, longest first, one after another."""
+    rows = [
+        {"key": key.lower(), "pattern": bounded(key), "target": java_replacement(target)}
+        for key, target in D.longest_first(table)
+    ]
+    return _fold(
+        text, rows, text, lambda t, e: F.regexp_replace(t, e["pattern"], e["target"])
     )
 
 
@@ -153,20 +196,23 @@ def canonical_units(text: Column, table: dict[str, str] = D.UNIT_ALIASES) -> Col
         )
 
     def step(state: Column, entry: Column) -> Column:
-        hit = F.contains(F.lower(state["text"]), entry["key"]) & F.rlike(
-            state["text"], entry["pattern"]
-        )
+        def after(new: Column) -> Column:
+            # a unit already written in its canonical form is found, but changes nothing
+            same = (entry["key"] == entry["selling"]) & F.rlike(state["text"], entry["pattern"])
+            unit = F.when(state["unit"] == "", entry["selling"]).otherwise(state["unit"])
+            return F.when(
+                (new != state["text"]) | same, F.struct(new.alias("text"), unit.alias("unit"))
+            ).otherwise(state)
+
         return F.when(
-            hit,
-            F.struct(
-                F.regexp_replace(state["text"], entry["pattern"], entry["target"]).alias("text"),
-                F.when(state["unit"] == "", entry["selling"]).otherwise(state["unit"]).alias("unit"),
-            ),
+            F.contains(F.lower(state["text"]), entry["key"]),
+            let(F.regexp_replace(state["text"], entry["pattern"], entry["target"]), after),
         ).otherwise(state)
 
     start = F.struct(text.alias("text"), F.lit("").alias("unit"))
-    return F.aggregate(
-        _entries(rows),
+    return _fold(
+        text,
+        rows,
         start,
         step,
         lambda s: F.struct(
@@ -178,11 +224,13 @@ def canonical_units(text: Column, table: dict[str, str] = D.UNIT_ALIASES) -> Col
 
 def first_packaging(text: Column, keywords: list[str] = D.PACKAGING_KEYWORDS) -> Column:
     """First keyword, in list order, that stands alone in the text."""
-    entries = _entries([{"key": k, "pattern": bounded(k.lower())} for k in keywords])
-    hits = F.filter(
-        entries, lambda e: F.contains(F.lower(text), F.lower(e["key"])) & F.rlike(text, e["pattern"])
-    )
-    return F.get(hits, F.lit(0))["key"]
+    entries = _entries([{"key": k, "low": k.lower(), "pattern": bounded(k.lower())} for k in keywords])
+
+    def first(low: Column) -> Column:
+        hits = F.filter(entries, lambda e: F.contains(low, e["low"]) & F.rlike(low, e["pattern"]))
+        return F.get(hits, F.lit(0))["key"]
+
+    return let(F.lower(text), first)
 
 
 def known_brand(text: Column, table: dict[str, str] = D.BRAND_ALIASES) -> Column:
@@ -190,7 +238,9 @@ def known_brand(text: Column, table: dict[str, str] = D.BRAND_ALIASES) -> Column
     entries = _entries(
         [{"key": k.lower(), "target": v} for k, v in D.longest_first(table)]
     )
-    return F.get(F.filter(entries, lambda e: F.contains(F.lower(text), e["key"])), F.lit(0))
+    return let(
+        F.lower(text), lambda low: F.get(F.filter(entries, lambda e: F.contains(low, e["key"])), F.lit(0))
+    )
 
 
 def drop_words(text: Column, stopwords: list[str] = D.STOPWORDS) -> Column:

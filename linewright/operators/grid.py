@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewright.functions import dictionaries as D
-from linewright.functions.similarity import let
+from linewright.functions.text import let
 from linewright.session import materialize
 
 SHEET = ["file_id", "sheet"]

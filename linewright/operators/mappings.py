@@ -39,12 +39,11 @@ def supplier_overrides(lines: DataFrame, mappings: DataFrame, empty_article: boo
         "supplier_id",
         _keys(sku=F.col("raw_text"), article=article, raw=F.col("raw_text"), text=F.col("n_text")).alias("key"),
     )
+    entry = F.struct(type_rank().alias("rank"), "mapping_id", "product_id", "mapping_type", "confidence")
+    # only the best mapping of a key can win, so a key brings one row into the join
     offered = mappings.filter("is_active").select(
         "supplier_id",
-        "mapping_id",
-        "product_id",
-        "mapping_type",
-        "confidence",
+        entry.alias("entry"),
         _keys(
             sku=F.col("supplier_sku"),
             article=F.col("supplier_article"),
@@ -52,15 +51,8 @@ def supplier_overrides(lines: DataFrame, mappings: DataFrame, empty_article: boo
             text=F.col("normalized_supplier_text"),
         ).alias("key"),
     )
-    best = (
-        wanted.join(offered, ["supplier_id", "key"])
-        .groupBy("line_id")
-        .agg(
-            F.min(
-                F.struct(type_rank().alias("rank"), "mapping_id", "product_id", "mapping_type", "confidence")
-            ).alias("best")
-        )
-    )
+    offered = offered.groupBy("supplier_id", "key").agg(F.min("entry").alias("entry"))
+    best = wanted.join(offered, ["supplier_id", "key"]).groupBy("line_id").agg(F.min("entry").alias("best"))
     return best.select(
         "line_id",
         "best.product_id",
@@ -85,20 +77,16 @@ def find_mapping(lookups: DataFrame, mappings: DataFrame) -> DataFrame:
     ).filter("key is not null")
     offered = mappings.filter("is_active").select(
         "supplier_id",
-        "mapping_id",
-        "product_id",
-        "mapping_type",
+        F.struct("mapping_id", "product_id", "mapping_type").alias("entry"),
         _keys(
             article=F.col("supplier_article"),
             raw=F.col("supplier_raw_text"),
             text=F.col("normalized_supplier_text"),
         ).alias("key"),
     )
-    return (
-        picked.join(offered, ["supplier_id", "key"])
-        .groupBy("lookup_id")
-        .agg(F.min(F.struct("mapping_id", "product_id", "mapping_type")).alias("m"))
-        .select("lookup_id", "m.mapping_id", "m.product_id", "m.mapping_type")
+    offered = offered.groupBy("supplier_id", "key").agg(F.min("entry").alias("m"))
+    return picked.join(offered, ["supplier_id", "key"]).select(
+        "lookup_id", "m.mapping_id", "m.product_id", "m.mapping_type"
     )
 
 

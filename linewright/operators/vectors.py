@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from linewright.session import materialize
+
 PIVOTS = 64
 BLOCK_ROWS = 4096
 
@@ -67,8 +69,9 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, block_rows: int = BLOC
 
     item_type = items.schema["product_id"].dataType.simpleString()
     query_type = queries.schema["query_id"].dataType.simpleString()
-    placed = items.mapInPandas(
-        assign, f"product_id {item_type}, vector array<float>, cell int, angle double"
+    placed = materialize(
+        items.mapInPandas(assign, f"product_id {item_type}, vector array<float>, cell int, angle double"),
+        "vectors",
     )
     cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("reach")).collect()
     radius = np.full(len(pivots), -np.inf)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linewright.functions.similarity import let
+from linewright.functions.text import let
 from linewright.operators.scans import running_position
 
 DASH = "—"

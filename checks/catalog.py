@@ -296,7 +296,7 @@ def a19(spark, sf):
 @query("A20_token_log_append", with_sql(LOG, body="SELECT event_id, total_tokens, estimated_cost_usd FROM log"))
 def a20(spark, sf):
     path = scratch_path(spark, "token-log")
-    sinks.append(R.token_log(calls(spark, sf), R.token_prices(spark)), path)
+    sinks.append(R.token_log(calls(spark, sf)), path)
     return spark.read.parquet(path).select("event_id", "total_tokens", F.col("estimated_cost_usd").cast("double").alias("estimated_cost_usd"))
 
 

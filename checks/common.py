@@ -216,7 +216,7 @@ def calls(spark: SparkSession, folder: str) -> DataFrame:
 def log(spark: SparkSession, folder: str) -> DataFrame:
     from linewright.operators import reporting as R
 
-    return R.token_log(calls(spark, folder), R.token_prices(spark)).withColumn(
+    return R.token_log(calls(spark, folder)).withColumn(
         "estimated_cost_usd", F.col("estimated_cost_usd").cast("double")
     )
 

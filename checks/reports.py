@@ -189,7 +189,7 @@ def f10(spark, sf):
 
 @query("F11_cost_estimate", with_sql(LOG, body="SELECT event_id, model, estimated_cost_usd FROM log"))
 def f11(spark, sf):
-    return R.with_cost(calls(spark, sf), R.token_prices(spark)).select("event_id", "model", "estimated_cost_usd")
+    return R.with_cost(calls(spark, sf)).select("event_id", "model", "estimated_cost_usd")
 
 
 @query("F12_usage_bars", with_sql(LOG, body="""

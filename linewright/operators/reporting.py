@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -269,31 +271,30 @@ def quality_gate(current: DataFrame, reports: DataFrame) -> DataFrame:
 # --- tokens ---
 
 
-def token_prices(spark, prices: dict[str, tuple[float, float]] | None = None) -> DataFrame:
-    rows = [(i, m, p, c) for i, (m, (p, c)) in enumerate((prices or D.TOKEN_PRICES).items())]
-    return spark.createDataFrame(rows, "ord int, price_model string, prompt_price double, completion_price double")
-
-
-def with_cost(calls: DataFrame, prices: DataFrame, default: tuple[float, float] = D.DEFAULT_TOKEN_PRICE) -> DataFrame:
+def with_cost(
+    calls: DataFrame,
+    prices: dict[str, tuple[float, float]] = D.TOKEN_PRICES,
+    default: tuple[float, float] = D.DEFAULT_TOKEN_PRICE,
+) -> DataFrame:
     """Add ``estimated_cost_usd``: the exact model's price, else the first whose name overlaps, else the default.
 
-    Prices are looked up per distinct model, not per call.
+    The price list is a constant, so this is a projection without any join.
     """
-    models = calls.select("model").distinct()
-    price = F.struct("prompt_price", "completion_price")
-    exact = models.join(prices, F.col("model") == F.col("price_model")).select("model", F.lit(-1).alias("ord"), price.alias("price"))
-    overlap = F.contains("model", "price_model") | F.contains("price_model", "model")
-    close = models.join(prices, overlap).select("model", "ord", price.alias("price"))
-    best = exact.union(close).groupBy("model").agg(F.min_by("price", "ord").alias("_price"))
-    prompt = F.coalesce("_price.prompt_price", F.lit(default[0]))
-    completion = F.coalesce("_price.completion_price", F.lit(default[1]))
+    rows = [{"model": m, "prompt": p, "completion": c} for m, (p, c) in prices.items()]
+    listed = F.from_json(F.lit(json.dumps(rows)), "array<struct<model: string, prompt: double, completion: double>>")
+    model = F.col("model")
+    exact = F.filter(listed, lambda p: p["model"] == model)
+    close = F.filter(listed, lambda p: F.contains(model, p["model"]) | F.contains(p["model"], model))
+    known = F.get(F.concat(exact, close), F.lit(0))
+    priced = calls.withColumn("_price", known)
+    prompt = F.coalesce("_price.prompt", F.lit(default[0]))
+    completion = F.coalesce("_price.completion", F.lit(default[1]))
     # prices are per million tokens, so the sum is in millionths of a dollar
     micros = F.round(F.col("prompt_tokens") * prompt + F.col("completion_tokens") * completion, 4)
-    cost = F.round(micros) / 1_000_000
-    return calls.join(best, "model", "left").withColumn("estimated_cost_usd", cost).drop("_price")
+    return priced.withColumn("estimated_cost_usd", F.round(micros) / 1_000_000).drop("_price")
 
 
-def token_log(calls: DataFrame, prices: DataFrame) -> DataFrame:
+def token_log(calls: DataFrame, prices: dict[str, tuple[float, float]] = D.TOKEN_PRICES) -> DataFrame:
     """Log rows of calls: a missing total is the sum of prompt and completion."""
     filled = calls.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("prompt_tokens", "completion_tokens")})
     filled = filled.withColumn(

@@ -52,7 +52,7 @@ def test_costs(spark):
         [("gpt-4o", 1000, 500, None), ("openai/gpt-4o-mini", 10, 0, 15), ("qwen3-235b-a22b", 1_000_000, 0, None), ("mystery", 2, 2, None)],
         "model string, prompt_tokens int, completion_tokens int, total_tokens int",
     )
-    got = {r.model: (float(r.estimated_cost_usd), r.total_tokens) for r in R.token_log(calls, R.token_prices(spark)).collect()}
+    got = {r.model: (float(r.estimated_cost_usd), r.total_tokens) for r in R.token_log(calls).collect()}
     assert got["gpt-4o"] == (0.0075, 1500)
     assert got["openai/gpt-4o-mini"] == (0.000025, 15)  # the first known name it contains is gpt-4o
     assert got["qwen3-235b-a22b"] == (0.2, 1_000_000) and got["mystery"] == (0.000004, 4)

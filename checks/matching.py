@@ -197,7 +197,7 @@ def d11(spark, sf):
     return R.alias_hits(queries, aliases)
 
 
-LINES_SQL = """lines AS (SELECT DISTINCT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS line_id, 'S' || l_suppkey AS supplier_id,
+LINES_SQL = """lines AS (SELECT DISTINCT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_linestatus || CAST(round(l_tax * 100) AS INTEGER) AS line_id, 'S' || l_suppkey AS supplier_id,
   CASE l_linestatus WHEN 'O' THEN 'sku' || l_partkey ELSE 'Line ' || l_partkey END AS raw_text, 'line ' || l_partkey AS n_text,
   CASE WHEN l_tax > 0.04 THEN lpad(CAST(l_partkey AS VARCHAR), 8, '0') ELSE '' END AS article FROM lineitem)"""
 
@@ -205,7 +205,10 @@ LINES_SQL = """lines AS (SELECT DISTINCT l_orderkey || '-' || l_linenumber || '-
 def _lines(spark, sf):
     l = table(spark, sf, "lineitem")
     return l.select(
-        F.concat_ws("-", *[text(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("line_id"),
+        F.concat_ws(
+            "-", *[text(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
+            F.concat("l_linestatus", F.round(F.col("l_tax") * 100).cast("int").cast("string")),
+        ).alias("line_id"),
         F.concat(F.lit("S"), text("l_suppkey")).alias("supplier_id"),
         F.concat(F.when(F.col("l_linestatus") == "O", "sku").otherwise("Line "), text("l_partkey")).alias("raw_text"),
         F.concat(F.lit("line "), text("l_partkey")).alias("n_text"),

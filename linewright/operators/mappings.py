@@ -18,6 +18,21 @@ def type_rank(column: str = "mapping_type"):
     return F.coalesce(out, F.lit(len(TYPE_RANK) + 1))
 
 
+def _flat(df: DataFrame) -> DataFrame:
+    """Turn the struct ``key`` into plain columns led by a hash.
+
+    Sorting for the aggregate and the join then compares numbers first; the
+    columns themselves stay part of the key, so collisions do no harm.
+    """
+    return df.select(
+        F.xxhash64("supplier_id", "key.kind", "key.value").alias("hash"), F.col("key.kind").alias("kind"),
+        F.col("key.value").alias("value"), *[c for c in df.columns if c != "key"],
+    )
+
+
+KEY = ["hash", "supplier_id", "kind", "value"]
+
+
 def _keys(**kinds):
     rows = [F.struct(F.lit(kind).alias("kind"), value.alias("value")) for kind, value in kinds.items()]
     return F.explode(F.filter(F.array(*rows), lambda r: r["value"].isNotNull()))
@@ -51,8 +66,9 @@ def supplier_overrides(lines: DataFrame, mappings: DataFrame, empty_article: boo
             text=F.col("normalized_supplier_text"),
         ).alias("key"),
     )
-    offered = offered.groupBy("supplier_id", "key").agg(F.min("entry").alias("entry"))
-    best = wanted.join(offered, ["supplier_id", "key"]).groupBy("line_id").agg(F.min("entry").alias("best"))
+    offered = _flat(offered).groupBy(*KEY).agg(F.min("entry").alias("entry"))
+    hits = _flat(wanted).join(offered, KEY)
+    best = hits.groupBy(F.xxhash64("line_id").alias("h"), "line_id").agg(F.min("entry").alias("best"))
     return best.select(
         "line_id",
         "best.product_id",
@@ -84,8 +100,8 @@ def find_mapping(lookups: DataFrame, mappings: DataFrame) -> DataFrame:
             text=F.col("normalized_supplier_text"),
         ).alias("key"),
     )
-    offered = offered.groupBy("supplier_id", "key").agg(F.min("entry").alias("m"))
-    return picked.join(offered, ["supplier_id", "key"]).select(
+    offered = _flat(offered).groupBy(*KEY).agg(F.min("entry").alias("m"))
+    return _flat(picked.select("lookup_id", "supplier_id", "key")).join(offered, KEY).select(
         "lookup_id", "m.mapping_id", "m.product_id", "m.mapping_type"
     )
 

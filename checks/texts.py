@@ -9,6 +9,7 @@ from linewright.functions import dictionaries as D
 from linewright.functions import text as T
 from linewright.operators import normalize as N
 from linewright.plans.batch_match import MatchInputs, prepare_items
+from linewright.session import spread
 
 CLEAN = """trim(regexp_replace(regexp_replace(lower(nfc_normalize(text)), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f]', '', 'g'), '[\\s\\x1c-\\x1f\\x85\\xa0]+', ' ', 'g'))"""
 
@@ -134,7 +135,7 @@ def b13(spark, sf):
 @query("B13_pipeline_documents")
 def b13_documents(spark, sf):
     lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw_text"))
-    return N.normalize(lines).select("doc_id", "line", "n_text", "n_brand", "n_unit", F.size("n_numbers").alias("numbers"))
+    return N.normalize(spread(lines, "doc_id", "line")).select("doc_id", "line", "n_text", "n_brand", "n_unit", F.size("n_numbers").alias("numbers"))
 
 
 # brands as synonyms: global ones, and own words of some suppliers

@@ -48,14 +48,17 @@ def lexeme_tokens(text: Column) -> Column:
 
 def lexeme_positions(lexemes: Column) -> Column:
     """``map<lexeme, positions>`` of an array of lexemes; null entries keep their place."""
-    placed = F.transform(lexemes, lambda w, i: F.struct(w.alias("w"), (i + 1).alias("i")))
-    return F.map_from_entries(
-        F.transform(
-            F.array_distinct(F.filter(lexemes, lambda w: w.isNotNull())),
-            lambda w: F.struct(
-                w, F.transform(F.filter(placed, lambda p: p["w"] == w), lambda p: p["i"])
-            ),
-        )
+    distinct = F.array_distinct(F.filter(lexemes, lambda w: w.isNotNull()))
+    return let(
+        F.transform(lexemes, lambda w, i: F.struct(w.alias("w"), (i + 1).alias("i"))),
+        lambda placed: F.map_from_entries(
+            F.transform(
+                distinct,
+                lambda w: F.struct(
+                    w, F.transform(F.filter(placed, lambda p: p["w"] == w), lambda p: p["i"])
+                ),
+            )
+        ),
     )
 
 

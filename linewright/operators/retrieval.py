@@ -14,7 +14,7 @@ from linewright.functions import similarity as S
 from linewright.functions import text as T
 from linewright.operators import vectors
 from linewright.options import MatchOptions
-from linewright.session import materialize
+from linewright.session import materialize, spread
 
 HOT_ROWS = 20_000  # postings of one key beyond this are split over several tasks
 FLOORS = (0.35,)  # a score that may already fill the list of a query
@@ -68,15 +68,6 @@ def _prefix(ordered: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def _spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Partition by ``keys`` over all shuffle partitions.
-
-    A fixed number, because the rows are few bytes but much work: sized by
-    bytes they would end up in one task.
-    """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-
-
 def _salted_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Equality join on ``key`` whose hot keys are cut into parts.
 
@@ -86,7 +77,7 @@ def _salted_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     parts = F.greatest(F.ceil(F.col("cnt") / HOT_ROWS), F.lit(1)).cast("int")
     l = left.filter("cnt > 0").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
     r = right.withColumn("part", F.pmod(F.xxhash64("r_id"), parts).cast("int"))
-    return _spread(l.drop("cnt"), key, "part").join(r.drop("cnt"), [key, "part"])
+    return spread(l.drop("cnt"), key, "part").join(r.drop("cnt"), [key, "part"])
 
 
 def _gram_candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
@@ -124,7 +115,7 @@ def similar_texts(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
     pairs = _gram_candidates(
         _ordered_grams(left, frequency), _ordered_grams(right, frequency), threshold
     )
-    pairs = _spread(pairs, "l_id", "r_id").distinct()
+    pairs = spread(pairs, "l_id", "r_id").distinct()
     l = left.select(F.col("id").alias("l_id"), F.col("set").alias("l_grams"))
     r = right.select(F.col("id").alias("r_id"), F.col("set").alias("r_grams"))
     return (
@@ -368,7 +359,7 @@ def lexical_matches(
                 _term_candidates(among(by_term), index.postings, floor),
             ]
         )
-        candidates = _spread(candidates, "l_id", "r_id").distinct()
+        candidates = spread(candidates, "l_id", "r_id").distinct()
         qualifies = (
             F.col("all_terms")
             | (F.col("name_similarity") > name_threshold)

@@ -13,7 +13,7 @@ from linewright.operators import normalize as N
 from linewright.operators import rerank, retrieval
 from linewright.operators.mappings import supplier_overrides
 from linewright.options import MatchOptions
-from linewright.session import materialize
+from linewright.session import materialize, spread
 
 OVERRIDE_REASON = "Найдено точное соответствие поставщика"
 EMPTY_REASON = "Кандидаты не найдены"
@@ -72,7 +72,7 @@ def distinct_items(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     content = ["supplier_id", "raw_text", "strict", "category_hint"]
     keyed = lines.withColumn("item_id", F.md5(F.to_json(F.struct(*content))))
-    return keyed, keyed.select("item_id", *content).dropDuplicates(["item_id"])
+    return keyed, spread(keyed.select("item_id", *content).dropDuplicates(["item_id"]), "item_id")
 
 
 def prepare_items(items: DataFrame, inputs: MatchInputs) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linewright.functions.text import let
+
 SAMPLE_CHARS = 4000
 
 
@@ -25,14 +27,14 @@ def split_fields(line: Column, sep: Column) -> Column:
     A separator counts when an even number of quotes follows it.
     """
     literal = F.concat(F.lit(r"\Q"), sep, F.lit(r"\E"))
-    pieces = F.split(line, '"')
-    marked = F.array_join(
-        F.transform(
-            pieces,
-            lambda p, i: F.when((F.size(pieces) - i) % 2 == 1, F.replace(p, sep, F.lit("\x01"))).otherwise(p),
-        ),
-        '"',
-    )
+
+    def mark(pieces: Column) -> Column:
+        outside = lambda p, i: F.when(
+            (F.size(pieces) - i) % 2 == 1, F.replace(p, sep, F.lit("\x01"))
+        ).otherwise(p)
+        return F.array_join(F.transform(pieces, outside), '"')
+
+    marked = let(F.split(line, '"'), mark)
     unquote = lambda f: F.when(
         f.rlike(r'(?s)^\s*".*"\s*$'), F.replace(F.regexp_extract(f, r'(?s)^\s*"(.*)"\s*$', 1), F.lit('""'), F.lit('"'))
     ).otherwise(f)
@@ -50,9 +52,8 @@ def text_cells(texts: DataFrame, sep: str | None = None) -> DataFrame:
     cleaned = cleaned.withColumn("sep", vote_delimiter(F.col("text")) if sep is None else F.lit(sep))
     lines = F.filter(F.split("text", r"\r?\n|\r"), lambda l: F.trim(l) != "")
     fields = F.transform(lines, lambda l: split_fields(l, F.col("sep")))
-    # rows keep only the fields of the first line's width
-    width = F.size(F.get(fields, F.lit(0)))
-    good = F.filter(fields, lambda f: F.size(f) <= width)
+    # lines wider than the first one are bad
+    good = let(fields, lambda all_: F.filter(all_, lambda f: F.size(f) <= F.size(F.get(all_, F.lit(0)))))
     return (
         cleaned.select("file_id", F.posexplode(good).alias("row", "fields"))
         .select("file_id", F.lit("Sheet1").alias("sheet"), "row", F.posexplode("fields").alias("col", "value"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.common import CATALOG, ITEMS, LOG, REQUESTS, calls, catalog, items, log, query, requests, seconds, table, text, with_sql
+from checks.common import CATALOG, ITEMS, LOG, REQUESTS, calls, catalog, items, query, requests, table, text, with_sql
 from checks.grids import CELLS, grid_cells
 from linewright.functions import dictionaries as D
 from linewright.operators import catalog as C
@@ -173,10 +173,6 @@ def _units(spark):
     return D.dictionary_frame(spark).filter("kind = 'unit'").select("source", "kind")
 
 
-def _update(spark, sf):
-    return catalog(spark, sf).filter("p_size >= 25").withColumn("brand", F.concat(F.lit("new "), "brand"))
-
-
 @query("A11_catalog_upsert", with_sql(CATALOG, body="""
 SELECT product_id, CASE WHEN p_size >= 25 THEN 'new ' || brand ELSE brand END AS brand FROM catalog JOIN part USING (p_partkey)"""))
 def a11(spark, sf):

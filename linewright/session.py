@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_RUN_FOLDERS: dict[str, str] = {}
+
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
@@ -27,18 +30,26 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and intermediate tables.
+    """This run's folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local master may
-    fall back to a temporary folder, because there every task sees it.
+    The cluster names the shared folder in ``spark.checkpoint.dir``. Only a
+    plain local master may do without, because there every task sees the
+    driver's disk. The run's folder is removed when the driver ends.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-        configured = tempfile.mkdtemp(prefix="linewright-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured.rstrip("/")
+    run = spark.sparkContext.applicationId
+    if run not in _RUN_FOLDERS:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+            shared = tempfile.mkdtemp(prefix="linewright-")
+        folder = f"{shared.rstrip('/')}/linewright-{run}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _RUN_FOLDERS[run] = folder
+    return _RUN_FOLDERS[run]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

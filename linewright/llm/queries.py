@@ -1,11 +1,13 @@
 """The corpus queries by name, and their SQL where SQL can say the same."""
 
-from linewright.llm import quality_rules
+from linewright.llm import chat_format, quality_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
+    "op7_chat_format": chat_format.query,
 }
 
 ORACLES = {
     "op1_quality_rules": quality_rules.SQL,
+    "op7_chat_format": chat_format.SQL,
 }

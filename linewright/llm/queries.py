@@ -1,15 +1,17 @@
 """The corpus queries by name, and their SQL where SQL can say the same."""
 
-from linewright.llm import chat_format, quality_rules, url_filter
+from linewright.llm import chat_format, quality_rules, source_mix, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
     "op5_url_filter": url_filter.query,
     "op7_chat_format": chat_format.query,
+    "op9_source_mix": source_mix.query,
 }
 
 ORACLES = {
     "op1_quality_rules": quality_rules.SQL,
     "op5_url_filter": url_filter.SQL,
     "op7_chat_format": chat_format.SQL,
+    "op9_source_mix": source_mix.SQL,
 }

@@ -1,10 +1,11 @@
 """The corpus queries by name, and their SQL where SQL can say the same."""
 
-from linewright.llm import chat_format, near_dedup, quality_rules, source_mix, url_filter
+from linewright.llm import chat_format, near_dedup, packing, quality_rules, source_mix, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
     "op3_near_dedup": near_dedup.query,
+    "op4_packing": packing.query,
     "op5_url_filter": url_filter.query,
     "op7_chat_format": chat_format.query,
     "op9_source_mix": source_mix.query,

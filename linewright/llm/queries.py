@@ -1,6 +1,15 @@
 """The corpus queries by name, and their SQL where SQL can say the same."""
 
-from linewright.llm import chat_format, near_dedup, packing, quality_rules, source_mix, url_filter
+from linewright.llm import (
+    chat_format,
+    language_id,
+    near_dedup,
+    packing,
+    quality_model,
+    quality_rules,
+    source_mix,
+    url_filter,
+)
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -8,7 +17,9 @@ QUERIES = {
     "op4_packing": packing.query,
     "op5_url_filter": url_filter.query,
     "op7_chat_format": chat_format.query,
+    "op8_quality_model": quality_model.query,
     "op9_source_mix": source_mix.query,
+    "op10_language_id": language_id.query,
 }
 
 ORACLES = {

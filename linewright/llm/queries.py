@@ -2,6 +2,7 @@
 
 from linewright.llm import (
     chat_format,
+    html_text,
     language_id,
     near_dedup,
     packing,
@@ -13,6 +14,7 @@ from linewright.llm import (
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
+    "op2_html_text": html_text.query,
     "op3_near_dedup": near_dedup.query,
     "op4_packing": packing.query,
     "op5_url_filter": url_filter.query,

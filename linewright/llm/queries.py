@@ -9,6 +9,7 @@ from linewright.llm import (
     quality_model,
     quality_rules,
     source_mix,
+    top_k,
     url_filter,
 )
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_near_dedup": near_dedup.query,
     "op4_packing": packing.query,
     "op5_url_filter": url_filter.query,
+    "op6_top_k": top_k.query,
     "op7_chat_format": chat_format.query,
     "op8_quality_model": quality_model.query,
     "op9_source_mix": source_mix.query,
@@ -27,6 +29,7 @@ QUERIES = {
 ORACLES = {
     "op1_quality_rules": quality_rules.SQL,
     "op5_url_filter": url_filter.SQL,
+    "op6_top_k": top_k.SQL,
     "op7_chat_format": chat_format.SQL,
     "op9_source_mix": source_mix.SQL,
 }

@@ -250,7 +250,8 @@ def _search(items: DataFrame, queries: DataFrame, width: int, n: int, top: float
     # the k-th best so far bounds the distance of the answer
     kth = _ranked(first, k).where(F.col("rank") == k).select(F.col("query_id").alias("q"), F.col("score").alias("kth"))
     bound = F.sqrt(F.greatest(F.lit(0.0), F.col("norm") + top - 2 * F.col("kth").cast("double")))
-    asked = asked.join(kth, asked.query_id == kth.q, "left").withColumn("q_limit", F.coalesce(bound, "q_limit"))
+    asked = asked.join(kth, asked.query_id == kth.q, "left")
+    asked = asked.withColumn("q_limit", F.when(F.col("kth").isNotNull(), bound).otherwise(F.col("q_limit")))
     asked = materialize(asked.select("query_id", "vec", "q_limit"), "bounded-queries")
     return _ranked(_best_in_pages(_visits(asked, nodes, width, None), pages, nodes, width, k), k)
 

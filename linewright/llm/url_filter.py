@@ -71,22 +71,29 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
     return rows.select("verdict", "rule", F.lower(host).alias("rule_host"), F.expr("substr(rule, instr(rule, '/'))").alias("rule_path"))
 
 
-def longest_rule(places: DataFrame, rules: DataFrame) -> DataFrame:
-    """``(host, path, rule, verdict)`` for the distinct places that have a rule.
+def rules_by_host(hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """``(rule_for, fits)``: the rules of each host that has any, its own and its parent domains', best first.
 
     A host is looked up under each of its parent domains by equality. The
-    longest rule wins, of two as long the one with the longer host, then block.
+    longest rule is best, of two as long the one with the longer host, then block.
     """
     labels = F.split("host", r"\.", -1)
     parents = F.transform(
         F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), ".")
     )
-    places = places.select("host", "path").where("host <> ''").distinct()
-    asked = places.select("host", "path", F.explode(parents).alias("parent"))
-    fits = asked.join(rules, asked.parent == rules.rule_host).where(F.col("path").startswith(F.col("rule_path")))
-    order = F.struct(F.length("rule"), F.length("rule_host"), F.col("verdict"), F.col("rule"))
-    best = fits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), order).alias("best"))
-    return best.select("host", "path", "best.rule", "best.verdict")
+    asked = hosts.select("host").where("host <> ''").distinct().select("host", F.explode(parents).alias("parent"))
+    fits = asked.join(rules, asked.parent == rules.rule_host)
+    fit = F.struct(F.length("rule").alias("n"), F.length("rule_host").alias("n_host"), "verdict", "rule", "rule_path")
+    best_first = F.sort_array(F.collect_list(fit), asc=False)
+    return fits.groupBy(F.col("host").alias("rule_for")).agg(best_first.alias("fits"))
+
+
+def with_rule(places: DataFrame, by_host: DataFrame) -> DataFrame:
+    """Adds ``rule`` and ``verdict`` to rows with ``host`` and ``path``; null where no rule fits."""
+    path = F.col("path")
+    best = F.get(F.filter("fits", lambda r: path.startswith(r["rule_path"])), F.lit(0))
+    joined = places.join(by_host, places.host == by_host.rule_for, "left").withColumn("best", best)
+    return joined.select(*places.columns, "best.rule", "best.verdict")
 
 
 def judge(
@@ -114,14 +121,15 @@ def judge(
     rows = rows.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     named = found.select("url").union(found.select("target")).where("url IS NOT NULL").distinct()
     named = named.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    best = materialize(longest_rule(rows.select("host", "path").union(named.select("host", "path")), rules), "url-rules")
+    by_host = materialize(rules_by_host(rows.select("host").union(named.select("host")), rules), "host-rules")
 
-    groups = connected_components(found, "url", "target")
-    decided = named.join(best, ["host", "path"], "left").join(groups.withColumnRenamed("node", "url"), "url")
+    groups = connected_components(found, "url", "target").withColumnRenamed("node", "url")
+    decided = with_rule(named, by_host).join(groups, "url")
     bad = decided.where("verdict = 'block'").select("component").distinct()
-    spread = materialize(decided.join(bad, "component", "left_semi").select(F.col("url").alias("bad_url")).distinct(), "bad-urls")
+    spread = decided.join(bad, "component", "left_semi").select(F.col("url").alias("bad_url")).distinct()
+    spread = materialize(spread, "bad-urls")
 
-    ruled = rows.join(best, ["host", "path"], "left")
+    ruled = with_rule(rows, by_host)
     ruled = ruled.join(spread, ruled.url == spread.bad_url, "left")
     verdict = F.coalesce("verdict", F.when(F.col("bad_url").isNotNull(), F.lit("block")), F.lit(default))
     return ruled.select("page_id", "host", "path", "rule", verdict.alias("verdict"))

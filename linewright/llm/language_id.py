@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from linewright.session import materialize
+
 #: Most documents that a model learns from, dealt evenly to the languages.
 MAX_TRAIN = 3_000
 #: Documents with this remainder of crc32(doc_id) by FOLDS are held out.
@@ -26,7 +28,7 @@ CENTROIDS = 3
 #: A cluster with a smaller share of its language is dropped.
 LEAST_CLUSTER = 0.1
 #: A language's limit is this quantile of its own distances, and half as much again.
-REJECT_QUANTILE, REJECT_SLACK = 0.995, 1.5
+REJECT_QUANTILE, REJECT_SLACK = 0.95, 1.5
 UNDETERMINED = "und"
 
 _LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -122,11 +124,12 @@ def train(
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = rows.where("text IS NOT NULL AND lang IS NOT NULL").where(~is_held_out(F.col("id")))
     named = rows.select("lang", F.xxhash64("id", "text").alias("key"))
-    langs = named.select("lang").distinct().count()
-    share = max(1, max_train // max(langs, 1))
-    # only the first rows of each language leave a task
+    sizes = materialize(named.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    share = max(1, max_train // max(sizes.count(), 1))
+    # keys are spread evenly, so few beyond the first of a language go on to be ranked
+    low = named.join(sizes, "lang").where((F.col("key") / 2.0**64 + 0.5) * F.col("n") <= 1.2 * share + 100)
     place = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
-    chosen = named.distinct().withColumn("place", place).where(F.col("place") <= share).select("lang", "key")
+    chosen = low.select("lang", "key").distinct().withColumn("place", place).where(F.col("place") <= share).select("lang", "key")
     rows = rows.withColumn("key", F.xxhash64("id", "text")).join(F.broadcast(chosen), ["lang", "key"])
     rows = rows.where(F.col("text").rlike(r"\p{L}")).select("lang", "key", grams_of("text").alias("grams"))
     sample = rows.groupBy("lang", "key").agg(F.min("grams").alias("grams")).orderBy("lang", "key").toPandas()

@@ -145,13 +145,14 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
     """``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, host)``.
 
     One row per document, repeated rows included. Texts are read once; only
-    the counts are written between the two passes, and host verdicts meet them
-    by an equality join, in which a hot host can be split. Other columns are
-    not looked at. An empty table gives no rows.
+    the counts are written between the two passes. The rejected hosts are
+    written too, so that the join with them knows their size: few are sent to
+    every task, many meet the counts by host, where a hot one can be split.
+    Other columns are not looked at. An empty table gives no rows.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).alias("host"), F.col(text).alias("text"))
     judged = materialize(rule_counts(rows), "rule-counts")
-    bad = host_verdicts(judged).where("rejected").select(F.col("host").alias("bad_host"))
+    bad = materialize(host_verdicts(judged).where("rejected").select(F.col("host").alias("bad_host")), "bad-hosts")
     joined = judged.join(bad, judged.host == bad.bad_host, "left")
     kept = ~F.col("base_failed") & F.col("bad_host").isNull()
     return joined.select("doc_id", *COUNTS, "base_failed", kept.alias("kept"), "host")
@@ -160,10 +161,10 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """The rows of ``docs`` that pass, all columns as they were."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(host).alias("host"), F.col(text).alias("text"))
-    judged = rule_counts(rows).select("row", "host", "base_failed", "rule_failed")
-    counted = materialize(judged.select("host", "base_failed", "rule_failed", F.when(~F.col("base_failed"), F.col("row")).alias("row")), "rule-rows")
-    bad = materialize(host_verdicts(counted).where("rejected").select(F.col("host").alias("bad_host")), "bad-hosts")
-    good = counted.where(~F.col("base_failed"))
+    judged = rule_counts(rows).select("host", "rule_failed", F.when(~F.col("base_failed"), F.col("row")).alias("row"))
+    judged = materialize(judged, "rule-rows")
+    bad = materialize(host_verdicts(judged).where("rejected").select(F.col("host").alias("bad_host")), "bad-hosts")
+    good = judged.where(F.col("row").isNotNull())
     return good.join(bad, good.host == bad.bad_host, "left_anti").select("row.*")
 
 

@@ -16,10 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from linewright.llm.columns import unused
 from linewright.operators.scans import running_position
 from linewright.session import materialize
 
-#: No source gets more than this share, unless there are too few sources.
+#: Without given weights a source weighs its natural share, but at most this, unless there are too few sources.
 MAX_SHARE = 0.25
 #: Documents in a block.
 BLOCK_ROWS = 16
@@ -29,14 +30,22 @@ RESOLUTION = 2000
 LEAST_SHARE = 0.005
 
 
-def lane_table(sources: DataFrame, max_share: float, least_share: float) -> tuple[DataFrame, DataFrame]:
-    """``(source, lane)`` for each source, and ``(lane, n, capped, weight)``.
+def _given_lanes(sources: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """``(source, n, lane, weight)`` for the named sources that have rows."""
+    named = sorted((name, w) for name, w in weights.items() if w > 0)
+    rows = F.array(*[F.struct(F.lit(name).alias("named"), F.lit(float(w)).alias("given"), F.lit(i).alias("lane")) for i, (name, w) in enumerate(named)])
+    table = sources.sparkSession.range(1).select(F.inline(rows))
+    lanes = sources.join(table, sources.source == table.named)
+    return lanes.select("source", "n", "lane", (F.col("given") / F.sum("given").over(Window.partitionBy())).alias("weight"))
+
+
+def _natural_lanes(sources: DataFrame, max_share: float, least_share: float) -> DataFrame:
+    """``(source, n, lane, weight)``: natural shares under a ceiling.
 
     A lane is a source with at least ``least_share`` of the rows, or all the
-    others together (lane 0); so there are at most ``1 / least_share + 1``. A
-    lane weighs its natural share, but no more than ``max_share``, or an even
-    share where there are few lanes; what capped lanes give up goes to the
-    others in proportion.
+    others together (lane 0); so there are at most ``1 / least_share + 1``. What
+    lanes at the ceiling give up goes to the others in proportion. With few lanes
+    the ceiling is an even share.
     """
     everything = Window.partitionBy()
     total = sources.agg(F.sum("n").alias("total"))
@@ -46,20 +55,19 @@ def lane_table(sources: DataFrame, max_share: float, least_share: float) -> tupl
     large = large.withColumn("lane", F.row_number().over(everything.orderBy(F.desc("n"), F.asc_nulls_first("source"))))
     small = shared.where(F.col("n") < least_share * F.col("total")).select("source", "n", F.lit(0).alias("lane"))
     members = materialize(large.unionByName(small), "mix-sources")
-    lanes = members.groupBy("lane").agg(F.sum("n").alias("n"))
-    down = everything.orderBy(F.desc("n"), F.asc("lane"))
-    ranked = lanes.select(
+    down = everything.orderBy(F.desc("lane_n"), F.asc("lane"))
+    ranked = members.groupBy("lane").agg(F.sum("n").alias("lane_n")).select(
         "lane",
-        "n",
+        "lane_n",
         F.row_number().over(down).alias("k"),
-        F.sum("n").over(down.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("rest"),
+        F.sum("lane_n").over(down.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("rest"),
         F.greatest(F.lit(max_share), 1.0 / F.count("*").over(everything)).alias("cap"),
     )
-    ranked = ranked.withColumn("capped", F.col("n") / F.col("rest") * (1.0 - (F.col("k") - 1) * F.col("cap")) > F.col("cap"))
+    ranked = ranked.withColumn("capped", F.col("lane_n") / F.col("rest") * (1.0 - (F.col("k") - 1) * F.col("cap")) > F.col("cap"))
     free_rows = F.max(F.when(~F.col("capped"), F.col("rest"))).over(everything)
     n_capped = F.sum(F.col("capped").cast("int")).over(everything)
-    weight = F.when(F.col("capped"), F.col("cap")).otherwise((1.0 - n_capped * F.col("cap")) * F.col("n") / free_rows)
-    return members.select("source", "lane"), ranked.select("lane", "n", "capped", weight.alias("weight"))
+    weight = F.when(F.col("capped"), F.col("cap")).otherwise((1.0 - n_capped * F.col("cap")) * F.col("lane_n") / free_rows)
+    return members.join(ranked.select("lane", weight.alias("weight")), "lane").select("source", "n", "lane", "weight")
 
 
 def cycle_table(lanes: DataFrame, resolution: int) -> DataFrame:
@@ -96,6 +104,7 @@ def order_key(doc_id: Column) -> Column:
 
 def plan(
     docs: DataFrame,
+    weights: dict[str, float] | None = None,
     doc_id: str = "doc_id",
     source: str = "source",
     max_share: float = MAX_SHARE,
@@ -106,60 +115,71 @@ def plan(
     """``(doc_id, source, lane, block, release, deadline, slot, place, in_mix)``, one row per document.
 
     ``slot`` is the block's turn in the mixture, ``place`` the document's turn in
-    the block. Capped lanes hold more than their weight; what of them comes
-    after the last block of all other lanes has ``in_mix`` false. Without a
-    capped lane everything is in the mix. A null source is a source of its own; repeated rows are
-    documents of their own. Other columns are not looked at. An empty table
+    the block. The mixture is on target until the lane with the least rows for
+    its weight runs dry; what others hold beyond that is scheduled too, but has
+    ``in_mix`` false. With given weights, documents of sources without one have
+    no lane and no slot. A null source is a source of its own; repeated rows
+    are documents of their own. Other columns are not looked at. An empty table
     gives no rows.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"))
-    members, lanes = lane_table(rows.groupBy("source").agg(F.count("*").alias("n")), max_share, least_share)
+    sources = rows.groupBy("source").agg(F.count("*").alias("n"))
+    weighed = _given_lanes(sources, weights) if weights else _natural_lanes(sources, max_share, least_share)
+    weighed = materialize(weighed, "mix-weights")
+    lanes = weighed.groupBy("lane").agg(F.sum("n").alias("n"), F.max("weight").alias("weight"))
+    supply = F.col("n") / F.col("weight")
+    lanes = lanes.withColumn("dry_first", supply <= F.min(supply).over(Window.partitionBy()) * (1 + 1e-6))
     lanes = materialize(lanes, "mix-lanes")
     cycle = materialize(cycle_table(lanes, resolution), "mix-cycle")
-    member = members.withColumnRenamed("source", "named")
+    member = weighed.select(F.col("source").alias("named"), "lane")
     laned = rows.join(member, rows.source.eqNullSafe(member.named), "left").select("doc_id", "source", "lane")
     keyed = laned.withColumn("digest", order_key(F.col("doc_id"))["digest"])
     ranked = running_position(keyed, ["lane"], "digest", "position", ties=["doc_id"])
     ranked = ranked.withColumn("block", F.expr(f"(position - 1) div {block_rows}"))
-    quanta = cycle.select(F.col("lane").alias("c_lane"), "turn", "quanta", "cycle", F.col("place").alias("at"))
-    per_lane = quanta.where("turn = 0").select(F.col("c_lane").alias("l_lane"), "quanta", "cycle")
-    sized = ranked.join(per_lane, ranked.lane == per_lane.l_lane)
-    turns = quanta.select("c_lane", "turn", "at")
-    placed = sized.join(turns, (sized.lane == turns.c_lane) & (F.expr("block % quanta") == turns.turn))
-    placed = placed.select(
+    slotted = _slotted(ranked, cycle)
+    # the last slot of a lane follows from its size alone
+    last = _slotted(lanes.where("dry_first").select("lane", F.expr(f"(n - 1) div {block_rows}").alias("block")), cycle)
+    end = last.agg(F.max("slot").alias("end"))
+    return slotted.join(F.broadcast(end)).select(  # one row
         "doc_id",
         "source",
         "lane",
         "block",
+        "release",
+        "deadline",
+        "slot",
+        F.expr(f"(position - 1) % {block_rows}").alias("place"),
+        F.coalesce(F.col("slot") <= F.col("end"), F.lit(False)).alias("in_mix"),
+    )
+
+
+def _slotted(blocks: DataFrame, cycle: DataFrame) -> DataFrame:
+    """Adds ``release``, ``deadline`` and ``slot`` to rows with ``lane`` and ``block``."""
+    lanes = cycle.where("turn = 0").select(F.col("lane").alias("l_lane"), "quanta", "cycle")
+    turns = cycle.select(F.col("lane").alias("t_lane"), "turn", F.col("place").alias("at"))
+    sized = blocks.join(lanes, blocks.lane == lanes.l_lane, "left")
+    placed = sized.join(turns, (sized.lane == turns.t_lane) & (F.expr("block % quanta") == turns.turn), "left")
+    return placed.select(
+        *blocks.columns,
         F.expr("block * cycle div quanta").alias("release"),
         F.expr("((block + 1) * cycle + quanta - 1) div quanta").alias("deadline"),
         F.expr("(block div quanta) * cycle + at").alias("slot"),
-        F.expr(f"(position - 1) % {block_rows}").alias("place"),
-    )
-    # the last slot of a lane follows from its size alone
-    last = lanes.select("lane", "capped", F.expr(f"(n - 1) div {block_rows}").alias("block"))
-    last = last.join(per_lane, last.lane == per_lane.l_lane)
-    last = last.join(turns, (last.lane == turns.c_lane) & (F.expr("block % quanta") == turns.turn))
-    end = last.agg(F.max(F.when(~F.col("capped"), F.expr("(block div quanta) * cycle + at"))).alias("end"))
-    return placed.join(F.broadcast(end)).select(  # one row
-        *placed.columns, F.coalesce(F.col("slot") <= F.col("end"), F.lit(True)).alias("in_mix")
     )
 
 
-def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", **options) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, doc_id: str = "doc_id", source: str = "source", **options) -> DataFrame:
     """The rows of ``docs`` that are in the mix, all columns as they were.
 
     Within a source the mix holds the first documents in hash order, so one
     bound per source says which rows stay, and no text is moved.
     """
-    planned = plan(docs, doc_id, source, **options).where("in_mix")
+    planned = plan(docs, weights, doc_id, source, **options).where("in_mix")
     last = F.max(order_key(F.col("doc_id"))).alias("last")
     bounds = materialize(planned.groupBy(F.col("source").alias("named")).agg(last), "mix-bounds")
-    rows = docs.select(
-        F.struct(*docs.columns).alias("row"), F.col(source).alias("from"), order_key(F.col(doc_id)).alias("key")
-    )
-    kept = rows.join(bounds, rows["from"].eqNullSafe(bounds.named)).where(F.col("key") <= F.col("last"))
-    return kept.select("row.*")
+    named, last_key = unused(docs, "named", "last")
+    bounds = bounds.select(F.col("named").alias(named), F.col("last").alias(last_key))
+    kept = docs.join(bounds, docs[source].eqNullSafe(bounds[named]))
+    return kept.where(order_key(docs[doc_id]) <= F.col(last_key)).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

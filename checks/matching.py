@@ -168,7 +168,7 @@ def d8(spark, sf):
     queries = table(spark, sf, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.concat_ws(" ", "n_name", F.lit("market"), "c_mktsegment").alias("text")
     ).distinct().withColumn("query_id", F.col("text"))
-    found = R.hybrid_search(queries, small, options=MatchOptions(retrieval_top_n=10))
+    found = R.rank_whole_catalog(queries, small, options=MatchOptions(retrieval_top_n=10))
     return found.select("query_id", "product_id", "lexical_score", F.col("retrieval_rank").cast("bigint").alias("retrieval_rank"))
 
 

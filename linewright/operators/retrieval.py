@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import math
 from dataclasses import dataclass
 from functools import reduce
@@ -522,14 +521,10 @@ def hybrid_search(
     """The ``retrieval_top_n`` best products per query, with scores and ranks.
 
     ``queries`` holds ``query_id, text`` and optionally ``article_hint,
-    category_filter, brand_filter, vector``. Catalogs of up to
-    ``small_catalog`` active products are ranked whole; above that, lists are
-    cut at the thresholds and queries that found nothing get a relaxed search.
-    Without a ready ``index`` one is built for the run.
+    category_filter, brand_filter, vector``. Lists are cut at the thresholds,
+    whatever the size of the catalog; queries that found nothing get a relaxed
+    search. Without a ready ``index`` one is built for the run.
     """
-    active = catalog.filter("is_active")
-    if active.limit(options.small_catalog + 1).count() <= options.small_catalog:
-        return rank_small_catalog(queries, catalog, embeddings, options, lexemes)
     index = index or build_index(catalog, options.list_cap, lexemes)
     with_vectors = embeddings is not None and "vector" in queries.columns
     hinted = "article_hint" in queries.columns
@@ -551,49 +546,43 @@ def hybrid_search(
         return found
     relaxed = search(
         relaxed_queries(missed, lexemes), options.relaxed_name_threshold,
-        options.relaxed_document_threshold, options.relaxed_list_cap, options.retrieval_top_n // 2, False,
+        options.relaxed_document_threshold, options.relaxed_list_cap, options.relaxed_top_n, False,
     )
     return found.unionByName(relaxed)
 
 
-def rank_small_catalog(
+def rank_whole_catalog(
     queries: DataFrame,
     catalog: DataFrame,
     embeddings: DataFrame | None = None,
     options: MatchOptions = MatchOptions(),
     lexemes: DataFrame | None = None,
+    most: int = 500,
 ) -> DataFrame:
-    """Rank every product of a small catalog for each query, inside the query's row.
+    """Rank every active product for each query, inside the query's row.
 
-    The catalog is at most ``small_catalog`` rows (checked here), so it travels
-    as one constant; no rows are paired and only the best leave the projection.
+    For callers that want products without any resemblance listed too; refused
+    for catalogs above ``most`` active products. The catalog is gathered into
+    one row, of that proven size, which every task gets.
     """
     with_vectors = embeddings is not None and "vector" in queries.columns
     active = catalog.filter("is_active")
+    if active.limit(most + 1).count() > most:
+        raise ValueError(f"catalog has more than {most} active products")
     prepared = with_lexemes(active, "search_document", "_lexemes", lexemes)
-    columns = ["product_id", "article", "code", "manufacturer_code", "normalized_name", "search_document", "_lexemes"]
     if with_vectors:
-        prepared = prepared.join(embeddings.select("product_id", "vector"), "product_id", "left")
-        columns.append("vector")
-    rows = prepared.select(*columns).limit(options.small_catalog + 1).collect()
-    if len(rows) > options.small_catalog:
-        raise ValueError(f"catalog has more than {options.small_catalog} active products")
-    records = sorted((r.asDict() for r in rows), key=lambda r: r["product_id"])
-    schema = (
-        "array<struct<product_id string, article string, code string, manufacturer_code string, "
-        "normalized_name string, search_document string, _lexemes array<string>, vector array<float>>>"
-    )
-    products = F.transform(
-        F.from_json(F.lit(json.dumps(records, ensure_ascii=False)), schema),
-        lambda p: F.struct(
-            p["product_id"].alias("product_id"),
-            F.array_compact(F.array(p["article"], p["code"], p["manufacturer_code"])).alias("codes"),
-            S.trigrams(p["normalized_name"]).alias("name_grams"),
-            S.trigrams(p["search_document"]).alias("document_grams"),
-            S.lexeme_positions(p["_lexemes"]).alias("positions"),
-            p["vector"].alias("vector"),
-        ),
+        prepared = prepared.join(embeddings.select("product_id", F.col("vector").alias("_vector")), "product_id", "left")
+    else:
+        prepared = prepared.withColumn("_vector", F.lit(None).cast("array<float>"))
+    product = F.struct(
+        "product_id",
+        F.array_compact(F.array("article", "code", "manufacturer_code")).alias("codes"),
+        S.trigrams(F.col("normalized_name")).alias("name_grams"),
+        S.trigrams(F.col("search_document")).alias("document_grams"),
+        S.lexeme_positions(F.col("_lexemes")).alias("positions"),
+        F.col("_vector").alias("vector"),
     )
+    gathered = prepared.agg(F.collect_list(product).alias("_products"))
     ready = queries
     if "terms" not in ready.columns:
         ready = with_lexemes(ready, "text", "_l", lexemes)
@@ -622,7 +611,8 @@ def rank_small_catalog(
 
     k = F.lit(options.fusion_k)
     ranked = (
-        ready.withColumn("_all", F.transform(products, measured))
+        ready.join(F.broadcast(gathered))
+        .withColumn("_all", F.transform("_products", measured))
         .withColumn("_lex", rank_map("lex"))
         .withColumn("_sem", rank_map("sem"))
         .withColumn(

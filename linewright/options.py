@@ -23,11 +23,11 @@ class MatchOptions:
     alternatives: int = 5
     list_cap: int = 200
     relaxed_list_cap: int = 100
+    relaxed_top_n: int = 25
     fusion_k: int = 60
     name_threshold: float = 0.15
     document_threshold: float = 0.10
     relaxed_name_threshold: float = 0.08
     relaxed_document_threshold: float = 0.05
-    small_catalog: int = 500
     scale_rerank: bool = False
     parity: bool = False

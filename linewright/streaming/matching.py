@@ -13,14 +13,18 @@ from linewright.plans.batch_match import MatchInputs, batch_match
 
 def match_stream(
     lines: DataFrame, inputs: MatchInputs, path: str, checkpoint: str, options: MatchOptions = MatchOptions(),
-    available_now: bool = False,
+    available_now: bool = False, seen_at: str | None = None, late: str = "1 day",
 ) -> StreamingQuery:
     """Match every micro-batch of ``lines`` against a static catalog and write it under ``path``.
 
     The lexical index is built once. Each batch owns a folder and overwrites
-    it, so a batch repeated after a failure gives the same files.
+    it, so a batch repeated after a failure gives the same files. A line that
+    comes again is matched once: within a batch always, and across batches for
+    the time ``late`` after the event time in column ``seen_at``, if given.
     """
-    if inputs.index is None and inputs.catalog.filter("is_active").limit(options.small_catalog + 1).count() > options.small_catalog:
+    if seen_at is not None:
+        lines = lines.withWatermark(seen_at, late).dropDuplicatesWithinWatermark(["request_item_id"])
+    if inputs.index is None:
         built = retrieval.build_index(inputs.catalog, options.list_cap, inputs.lexemes)
         inputs = MatchInputs(**{**inputs.__dict__, "index": built})
 

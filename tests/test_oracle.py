@@ -1,9 +1,4 @@
-"""Every registered query that has SQL gives the same rows as the SQL.
-
-The smallest tables hold fewer parts than the small-catalog limit, where the
-whole match ranks without thresholds; queries built on the thresholds run on
-the next size in tests/check_oracle.py.
-"""
+"""Every registered query that has SQL gives the same rows as the SQL."""
 
 import os
 
@@ -13,9 +8,7 @@ import __spark_entry__ as entry
 from tests.oracle import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
-THRESHOLDS = ("E26", "H1")
-SLOW = ("D4", "D6", "D7", "D9")
-NAMES = [n for n in entry.oracle_sql() if not n.startswith(THRESHOLDS + SLOW)]
+NAMES = [n for n in entry.oracle_sql() if n not in entry.CORPUS_ORACLES]
 
 
 @pytest.fixture(scope="module")

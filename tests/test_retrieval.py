@@ -82,18 +82,35 @@ def test_similar_texts(spark, world):
     assert got == {(q, p[0]) for q in queries for p in products if jaccard(grams(q), grams(p[2])) > 0.3}
 
 
-def test_small_and_relaxed_search(spark, world):
+def test_whole_catalog_and_relaxed_search(spark, world):
     products, queries, catalog, frame = world
     none = F.lit(None).cast("string")
     extra = {c: none for c in ["name", "article", "code", "brand", "normalized_brand", "manufacturer_code", "category_id", "category_path", "unit", "packaging"]}
     full = catalog.withColumns(extra).withColumn("name", F.col("normalized_name")).withColumn("code", F.col("product_id"))
     hinted = frame.withColumn("article_hint", F.lit("p001"))
-    small = R.hybrid_search(hinted, full, options=MatchOptions(retrieval_top_n=5)).collect()
+    small = R.rank_whole_catalog(hinted, full, options=MatchOptions(retrieval_top_n=5)).collect()
     assert len(small) == 5 * len(queries)
     assert {r.query_id for r in small if r.product_id == "p001" and r.exact_match} == set(queries)
     odd = spark.createDataFrame([("x", "zzzz pump-like"), ("y", "zz 1")], "query_id string, text string")
-    large = R.hybrid_search(odd, full, options=MatchOptions(small_catalog=10, name_threshold=0.99, document_threshold=0.99)).collect()
+    large = R.hybrid_search(odd, full, options=MatchOptions(name_threshold=0.99, document_threshold=0.99)).collect()
     assert {r.query_id for r in large} == {"x"} and len(large) <= 25
+    with pytest.raises(ValueError):
+        R.rank_whole_catalog(hinted, full, most=10)
+
+
+@pytest.mark.parametrize("n", [1, 500, 501])
+def test_answers_do_not_depend_on_the_catalog_size(spark, n):
+    none = F.lit(None).cast("string")
+    columns = ["article", "code", "brand", "normalized_brand", "manufacturer_code", "category_id", "category_path", "unit", "packaging"]
+    base = spark.range(n).select(
+        F.format_string("p%05d", "id").alias("product_id"), F.format_string("valve %05d", "id").alias("name"),
+        F.format_string("valve %05d", "id").alias("normalized_name"), F.format_string("valve %05d", "id").alias("search_document"),
+        F.lit(True).alias("is_active"), *[none.alias(c) for c in columns],
+    )
+    queries = spark.createDataFrame([("near", "valve 00000"), ("far", "qqqqqq")], "query_id string, text string")
+    rows = R.hybrid_search(queries, base).collect()
+    assert {r.query_id for r in rows} == {"near"}
+    assert min(rows, key=lambda r: r.retrieval_rank).product_id == "p00000"
 
 
 def test_lexeme_lookup(spark):

@@ -166,7 +166,7 @@ def test_decisions(spark, score_, strict, explicit, supplier, category, forbidde
     assert row.s == want
 
 
-def test_batch_match_small_and_overrides(spark):
+def test_batch_match_and_overrides(spark):
     columns = "product_id string, name string, normalized_name string, article string, code string, manufacturer_code string, brand string, normalized_brand string, category_id string, category_path string, unit string, packaging string, search_document string, is_active boolean"
     catalog = spark.createDataFrame(
         [

@@ -146,9 +146,10 @@ def a8(spark, sf):
 
 
 @query("A8_valid_lines", with_sql(ITEMS, body="""
-SELECT count(*) AS valid, 0 AS rejected FROM items"""))
+SELECT count(*) FILTER (fits) AS valid, CAST(count(*) FILTER (NOT fits) AS INTEGER) AS rejected FROM (
+  SELECT length(raw_text) <= 8 AND length(raw_text) > 0 AND count(*) OVER (PARTITION BY request_id) <= 5 AS fits FROM items)"""))
 def a8_valid(spark, sf):
-    good, bad = lines.split_valid(items(spark, sf))
+    good, bad = lines.split_valid(items(spark, sf), max_chars=8, max_lines=5)
     return good.agg(F.count("*").alias("valid")).withColumn("rejected", bad.agg(F.count("*").cast("int")).scalar())
 
 

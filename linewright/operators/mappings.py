@@ -153,7 +153,7 @@ def ensure_suppliers(names: DataFrame, suppliers: DataFrame) -> DataFrame:
         .withColumn(
             "slug",
             F.when(slug == "", F.concat(F.lit("bootstrap-"), F.lpad(F.col("first_ordinal").cast("string"), 2, "0"))).otherwise(
-                F.substring(slug, 1, 48)
+                slug
             ),
         )
         .withColumn("supplier_id", F.concat(F.lit("sup_"), "slug"))
@@ -167,7 +167,7 @@ def ensure_suppliers(names: DataFrame, suppliers: DataFrame) -> DataFrame:
             "new_id",
             F.when(
                 F.col("taken").isNull() & (F.col("owner") == F.col("first_ordinal")), F.col("supplier_id")
-            ).otherwise(F.concat("supplier_id", F.lit("-"), F.substring(F.md5("key"), 1, 4))),
+            ).otherwise(F.concat("supplier_id", F.lit("-"), F.md5("key"))),
         )
         .select("key", "new_id", "first_name")
     )

@@ -111,8 +111,8 @@ def extract_features(df: DataFrame) -> DataFrame:
     )
 
 
-def decompose(df: DataFrame, text: str = "raw_text") -> DataFrame:
-    """What a resolver needs to know about a line: attributes, first tokens, category word."""
+def decompose(df: DataFrame, text: str = "raw_text", tokens: int | None = None) -> DataFrame:
+    """What a resolver needs to know about a line: attributes, tokens (the first ones, if limited), category word."""
     return extract_features(normalize(df, text)).select(
         *df.columns,
         F.col("n_text").alias("normalized_text"),
@@ -122,7 +122,7 @@ def decompose(df: DataFrame, text: str = "raw_text") -> DataFrame:
         F.col("n_dims").alias("dimensions"),
         F.col("n_unit").alias("unit"),
         "packaging",
-        F.slice("n_tokens", 1, 20).alias("tokens"),
+        (F.slice("n_tokens", 1, tokens) if tokens else F.col("n_tokens")).alias("tokens"),
         T.leading_word(F.col("n_tokens")).alias("category_word"),
     )
 

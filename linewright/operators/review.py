@@ -159,7 +159,7 @@ def mappings_from_input(rows: DataFrame) -> DataFrame:
 def review_audit(resolved: DataFrame) -> DataFrame:
     """Audit rows of applied reviews."""
     return resolved.select(
-        F.concat(F.lit("audit_"), F.substring(F.md5(F.concat_ws("|", "request_item_id", "reviewer", F.col("at").cast("string"))), 1, 12)).alias("log_id"),
+        F.concat(F.lit("audit_"), F.md5(F.concat_ws("|", "request_item_id", "reviewer", F.col("at").cast("string")))).alias("log_id"),
         F.lit("review").alias("action"),
         F.lit("match_request_item").alias("entity_type"),
         F.col("request_item_id").alias("entity_id"),

@@ -48,7 +48,7 @@ def clean_rows(rows: DataFrame) -> DataFrame:
     for field in NUMERIC_FIELDS:
         if field in out.columns:
             out = out.withColumn(field, F.replace(F.col(field), F.lit(","), F.lit(".")).try_cast("double"))
-    key = F.concat(F.lit("prd_"), F.substring(F.md5(F.to_json(F.struct(*[c for c in out.columns if c != "product_id"]))), 1, 12))
+    key = F.concat(F.lit("prd_"), F.md5(F.to_json(F.struct(*[c for c in out.columns if c != "product_id"]))))
     given = F.col("product_id") if "product_id" in out.columns else F.lit(None).cast("string")
     return out.withColumn("product_id", F.coalesce(given, key))
 

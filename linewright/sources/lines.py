@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from linewright.functions import dictionaries as D
 
-MAX_LINE_CHARS = 2000
-MAX_LINES = 5000
 
 
 def pasted_lines(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -45,15 +43,16 @@ def tabular_lines(rows: DataFrame, columns: list[str], position: Column, keep: l
     ).filter("raw_text != ''")
 
 
-def split_valid(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lines of 1 to 2000 characters in requests of at most 5000 lines, and the rejected rest."""
+def split_valid(lines: DataFrame, max_chars: int | None = None, max_lines: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Lines that are not empty, and the rejected rest with a reason.
+
+    A caller may bound the characters of a line and the lines of a request.
+    """
     sizes = lines.groupBy("request_id").agg(F.count("*").alias("_n"))
     size = F.length(F.coalesce("raw_text", F.lit("")))
     sized = lines.join(sizes, "request_id")
-    reason = (
-        F.when(F.col("_n") > MAX_LINES, "too many lines")
-        .when(size == 0, "empty line")
-        .when(size > MAX_LINE_CHARS, "line too long")
-    )
+    too_many = F.lit(False) if max_lines is None else F.col("_n") > max_lines
+    too_long = F.lit(False) if max_chars is None else size > max_chars
+    reason = F.when(too_many, "too many lines").when(size == 0, "empty line").when(too_long, "line too long")
     judged = sized.withColumn("reason", reason).drop("_n")
     return judged.filter("reason is null").drop("reason"), judged.filter("reason is not null")

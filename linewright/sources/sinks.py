@@ -45,7 +45,7 @@ def audit_rows(events: DataFrame) -> DataFrame:
     """Audit rows with an id made from their content; missing details become an empty object."""
     content = [c for c in events.columns if c != "log_id"]
     return events.withColumn(
-        "log_id", F.concat(F.lit("audit_"), F.substring(F.md5(F.to_json(F.struct(*content))), 1, 12))
+        "log_id", F.concat(F.lit("audit_"), F.md5(F.to_json(F.struct(*content))))
     ).withColumn("details", F.coalesce("details", F.lit("{}")))
 
 

@@ -56,17 +56,42 @@ def h3(spark, sf):
     return found.withColumn("window_start", F.unix_micros("window_start"))
 
 
-@query("H3_rate_breaches_stream")
+@query("H3_rate_breaches_stream", BREACHES)
 def h3_stream(spark, sf):
     events = _stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return runs.drain_appended(windows.rate_breaches(events, "event_type", "ts", 4, 3600), "breaches")
+    found = runs.drain_updated(windows.rate_breaches(events, "event_type", "ts", 4, 3600), ["event_type", "window_start"], "breaches")
+    return found.withColumn("window_start", F.unix_micros("window_start"))
+
 
+BLOCKS = """e AS (SELECT user_id, epoch_us(CAST(ts AS TIMESTAMP)) / 1e6 AS at_, event_type IN ('error', 'click', 'view') AS failed,
+  row_number() OVER (PARTITION BY user_id ORDER BY CAST(ts AS TIMESTAMP), event_id) AS i FROM events),
+s AS (SELECT user_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS window_end, CAST(0 AS DOUBLE) AS blocked_until, CAST(0 AS DOUBLE) AS at_, '' AS outcome
+    FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL SELECT user_id, i, CASE WHEN refused THEN n WHEN failed THEN fresh ELSE 0 END, CASE WHEN refused THEN window_end WHEN failed THEN ending ELSE 0 END,
+    CASE WHEN refused THEN blocked_until WHEN NOT failed THEN 0 WHEN fresh >= 5 THEN at_ + 604800 ELSE blocked_until END, at_,
+    CASE WHEN refused THEN 'refused' WHEN failed AND fresh >= 5 THEN 'blocked' ELSE '' END
+  FROM (SELECT s.user_id, e.i, s.n, s.window_end, s.blocked_until, e.at_, e.failed, e.at_ < s.blocked_until AS refused,
+      CASE WHEN e.at_ >= s.window_end THEN 1 ELSE s.n + 1 END AS fresh, CASE WHEN e.at_ >= s.window_end THEN e.at_ + 86400 ELSE s.window_end END AS ending
+    FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1))"""
 
-@query("H4_login_blocks_stream")
+
+@query("H4_login_blocks_stream", f"""WITH RECURSIVE {BLOCKS}
+SELECT CAST(user_id AS VARCHAR) AS key, CAST(round(at_ * 1e6) AS BIGINT) AS at_us, outcome, CAST(round(blocked_until * 1e6) AS BIGINT) AS until_us FROM s WHERE outcome <> ''""")
 def h4(spark, sf):
     events = _stream(spark, sf, "events")
     failed = F.col("event_type").isin("error", "click", "view")
-    return runs.drain_appended(guards.login_blocks(events, "user_id", "ts", failed, 5, 86400.0, 7 * 86400.0), "blocks")
+    found = runs.drain_appended(guards.login_blocks(events, "user_id", "ts", failed, 5, 86400.0, 7 * 86400.0), "blocks")
+    micros = lambda c: F.round(F.col(c) * 1e6).cast("bigint")
+    return found.select("key", micros("at").alias("at_us"), "outcome", micros("blocked_until").alias("until_us"))
+
+
+@query("H4_login_blocks", f"""WITH RECURSIVE {BLOCKS}
+SELECT user_id, CAST(round(at_ * 1e6) AS BIGINT) AS at_us, outcome, CAST(round(blocked_until * 1e6) AS BIGINT) AS until_us FROM s WHERE outcome <> ''""")
+def h4_batch(spark, sf):
+    events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    failed = F.col("event_type").isin("error", "click", "view")
+    found = E.login_blocks(events, "user_id", "ts", failed, ["event_id"], 5, 86400, 7 * 86400)
+    return found.select("user_id", F.unix_micros("ts").alias("at_us"), "outcome", F.unix_micros("blocked_until").alias("until_us"))
 
 
 EPISODES = """e AS (SELECT user_id, event_id, CAST(ts AS TIMESTAMP) AS at_, event_type <> 'purchase' AS failed FROM events),
@@ -107,9 +132,25 @@ def h6(spark, sf):
     return rows.select("event_type", "responses", F.unix_micros("alerted_at").alias("alerted_at"), F.unix_micros("last_at").alias("last_at"))
 
 
-@query("H6_slow_alerts_stream")
+ALERTS = """e AS (SELECT event_type, event_id, CAST(ts AS TIMESTAMP) AS at_, value > 5 AS slow FROM events),
+r AS (SELECT *, sum(CASE WHEN slow THEN 0 ELSE 1 END) OVER (PARTITION BY event_type ORDER BY at_, event_id) AS run FROM e),
+p AS (SELECT *, row_number() OVER (PARTITION BY event_type, run ORDER BY at_, event_id) AS position FROM r WHERE slow),
+d AS (SELECT event_type, epoch_us(at_) AS at_us, position, row_number() OVER (PARTITION BY event_type ORDER BY at_, event_id) AS i FROM p WHERE position >= 3),
+a AS (SELECT event_type, at_us, position, i FROM d WHERE i = 1
+  UNION ALL SELECT n.* FROM a, LATERAL (SELECT event_type, at_us, position, i FROM d WHERE d.event_type = a.event_type AND d.at_us >= a.at_us + 86400000000 AND d.i > a.i ORDER BY d.i LIMIT 1) n)"""
+
+
+@query("H6_slow_alerts_stream", f"WITH RECURSIVE {ALERTS} SELECT event_type AS key, at_us, CAST(position AS INTEGER) AS responses FROM a")
 def h6_stream(spark, sf):
-    return runs.drain_appended(guards.slow_alerts(_stream(spark, sf, "events"), "event_type", "ts", F.col("value") > 5.0), "alerts")
+    slow = guards.slow_alerts(_stream(spark, sf, "events"), "event_type", "ts", F.col("value") > 5.0, cooldown=86400.0)
+    return runs.drain_appended(slow, "alerts").select("key", F.round(F.col("at") * 1e6).cast("bigint").alias("at_us"), "responses")
+
+
+@query("H6_slow_alerts", f"WITH RECURSIVE {ALERTS} SELECT event_type, at_us, position FROM a")
+def h6_alerts(spark, sf):
+    events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    found = E.slow_alerts(events, "event_type", "ts", F.col("value"), ["event_id"], cooldown=86400)
+    return found.select("event_type", F.unix_micros("ts").alias("at_us"), "position")
 
 
 @query("H7_daily_usage", with_sql(LOG, body="""
@@ -119,13 +160,15 @@ def h7(spark, sf):
     return daily.withColumn("date", F.date_format("date", "yyyy-MM-dd")).withColumn("cost_usd", F.round("cost_usd", 6))
 
 
-@query("H7_daily_usage_stream")
+@query("H7_daily_usage_stream", """
+SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS date, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total_tokens, round(sum(value / 1000), 6) AS cost_usd, count(*) AS calls FROM events GROUP BY 1""")
 def h7_stream(spark, sf):
     rows = _stream(spark, sf, "events").select(
         F.col("ts").cast("timestamp").alias("created_at"), F.get_json_object("props", "$.k").cast("bigint").alias("total_tokens"),
         (F.col("value") / 1000).alias("estimated_cost_usd"),
     )
-    return runs.drain_appended(windows.daily_usage(rows), "usage")
+    daily = runs.drain_updated(windows.daily_usage(rows), ["date"], "usage")
+    return daily.withColumn("date", F.date_format("date", "yyyy-MM-dd")).withColumn("cost_usd", F.round("cost_usd", 6))
 
 
 @query("I3_run_options", with_sql(ITEMS, body="""

@@ -45,15 +45,22 @@ def whole_numbers(embedding: Column, scale: int = 256) -> Column:
 
 
 def _stacked(vectors: list[bytes], width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(vectors), "<i8").reshape(-1, width)
+    """Vectors from their bytes; all have the size of number that the first one has."""
+    kind = f"<i{len(vectors[0]) // width}" if len(vectors) else "<i8"
+    return np.frombuffer(b"".join(vectors), kind).reshape(-1, width)
+
+
+def _kind(top: float) -> str:
+    """The smallest whole number that holds any component, by the largest squared norm."""
+    return next(k for k, most in (("<i2", 2.0**30), ("<i4", 2.0**62), ("<i8", float("inf"))) if top < most)
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Inner products as whole numbers, by floating point where that is exact."""
-    largest = [float(np.abs(x).max(initial=0)) for x in (a, b)]
+    largest = [float(np.abs(x.astype(np.float64)).max(initial=0)) for x in (a, b)]
     if largest[0] * largest[1] * a.shape[1] < 2**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+    return a.astype(np.int64) @ b.astype(np.int64).T
 
 
 @dataclass
@@ -107,6 +114,11 @@ class Nodes:
         """Distances of queries to stored vectors, by their inner products."""
         return np.sqrt(np.maximum(self._norms(queries)[:, None] + self.top - 2.0 * products, 0))
 
+    def least_score(self, queries: np.ndarray, limits: np.ndarray) -> np.ndarray:
+        """The inner product that a distance within the limit takes at least, rounding allowed for."""
+        squares = np.asarray(limits, np.float64) ** 2
+        return (self._norms(queries) + self.top - squares) / 2 - 1 - 1e-6 * self.top
+
     def walk(self, query: np.ndarray, limit: float, enough: int | None = None) -> list[int]:
         """The leaves that reach into ``limit``, nearest first; with ``enough`` only until they hold as many entries."""
         query = query[None, :]
@@ -150,7 +162,7 @@ def _assigned(items: DataFrame, nodes: Nodes, width: int) -> DataFrame:
                         "vec_id": part["vec_id"].to_numpy(),
                         "leaf": leaf.astype(np.int32),
                         "distance": distance[np.arange(len(part)), leaf],
-                        "vec": [r.tobytes() for r in rows],
+                        "vec": [r.tobytes() for r in rows.astype(_kind(nodes.top))],
                     }
                 )
 
@@ -207,7 +219,7 @@ def _best_in_pages(visits: DataFrame, pages: DataFrame, nodes: Nodes, width: int
                     continue
                 q_ids, ids = q_ids[some_q], ids[some_e]
                 scores = _products(queries[some_q], entries[some_e])
-                usable = q_ids[:, None] != ids[None, :]
+                usable = (q_ids[:, None] != ids[None, :]) & (scores >= nodes.least_score(queries, row.q_limits)[some_q, None])
                 # entries are in the order of their ids, so a stable sort settles ties
                 order = np.argsort(np.where(usable, -scores, np.iinfo(np.int64).max), axis=1, kind="stable")[:, :k]
                 picked = np.take_along_axis(usable, order, axis=1)
@@ -219,7 +231,8 @@ def _best_in_pages(visits: DataFrame, pages: DataFrame, nodes: Nodes, width: int
                     }
                 )
 
-    return visits.join(pages, "leaf").mapInPandas(visit, FOUND)
+    # how much the walk makes of its queries cannot be foreseen, so no side may be taken for small
+    return visits.join(pages.hint("merge"), "leaf").mapInPandas(visit, FOUND)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -245,7 +258,7 @@ def _search(items: DataFrame, queries: DataFrame, width: int, n: int, top: float
 
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
     asked = queries.select("query_id", F.col("v"), norm.alias("norm"), F.lit(float("inf")).alias("q_limit"))
-    asked = materialize(_packed(asked), "tree-queries")
+    asked = materialize(_packed(asked, _kind(top)), "tree-queries")
     first = _best_in_pages(_visits(asked, nodes, width, k + 1), pages, nodes, width, k)
     # the k-th best so far bounds the distance of the answer
     kth = _ranked(first, k).where(F.col("rank") == k).select(F.col("query_id").alias("q"), F.col("score").alias("kth"))
@@ -256,12 +269,12 @@ def _search(items: DataFrame, queries: DataFrame, width: int, n: int, top: float
     return _ranked(_best_in_pages(_visits(asked, nodes, width, None), pages, nodes, width, k), k)
 
 
-def _packed(queries: DataFrame) -> DataFrame:
+def _packed(queries: DataFrame, kind: str) -> DataFrame:
     """The vectors as bytes."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch["vec"] = [np.asarray(v, "<i8").tobytes() for v in batch.pop("v")]
+            batch["vec"] = [np.asarray(v).astype(kind).tobytes() for v in batch.pop("v")]
             yield batch[["query_id", "vec", "norm", "q_limit"]]
 
     return queries.mapInPandas(pack, "query_id long, vec binary, norm double, q_limit double")

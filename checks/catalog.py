@@ -74,9 +74,9 @@ def a4(spark, sf):
 
 
 @query("A4_delimiter_vote", """
-SELECT doc_id, CASE WHEN t > s AND t > c THEN 'tab' WHEN s > c THEN ';' ELSE ',' END AS sep FROM (
-  SELECT doc_id, len(regexp_extract_all(x, '\\t')) AS t, len(regexp_extract_all(x, ';')) AS s, len(regexp_extract_all(x, ',')) AS c
-  FROM (SELECT doc_id, substr(text, 1, 4000) AS x FROM documents))""")
+SELECT doc_id, CASE WHEN t > s AND t > c AND t >= b THEN 'tab' WHEN b > s AND b > c THEN '|' WHEN s > c THEN ';' ELSE ',' END AS sep FROM (
+  SELECT doc_id, len(regexp_extract_all(x, '\\t')) AS t, len(regexp_extract_all(x, ';')) AS s, len(regexp_extract_all(x, ',')) AS c, len(regexp_extract_all(x, '\\|')) AS b
+  FROM (SELECT doc_id, text AS x FROM documents))""")
 def a4_vote(spark, sf):
     sep = grids.vote_delimiter(F.col("text"))
     return table(spark, sf, "documents").select("doc_id", F.when(sep == "\t", "tab").otherwise(sep).alias("sep"))
@@ -378,7 +378,7 @@ def c6(spark, sf):
     folders = table(spark, sf, "part").select(
         text("p_partkey").alias("category_id"), F.col("p_name").alias("name"), F.floor(F.col("p_partkey") / 10).cast("string").alias("parent_id")
     )
-    return C.category_paths(folders)
+    return C.category_paths(folders, max_depth=10)
 
 
 @query("C7_changed_documents", with_sql(CATALOG, body="SELECT product_id FROM catalog WHERE brand <> 'Brand#7'"))

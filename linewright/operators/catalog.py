@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -147,43 +148,46 @@ def valid_embeddings(embeddings: DataFrame, width: int) -> tuple[DataFrame, Data
 # --- categories ---
 
 
-def category_paths(folders: DataFrame, max_depth: int = 10) -> DataFrame:
+def category_paths(folders: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``(category_id, path)`` from parent links ``(category_id, name, parent_id)``.
 
-    One join per level; a chain is followed up to ``max_depth`` steps, so
-    cycles end. The all-zero reference and unknown parents are roots.
+    One join per level. A chain ends at a root, or where it would come to a
+    folder for the second time; with ``max_depth`` it ends after that many
+    steps instead, cycles or not. The all-zero reference and unknown parents are
+    roots.
     """
     nodes = folders.filter(F.col("category_id") != D.EMPTY_REFERENCE).select("category_id", "name", "parent_id")
     up = nodes.select(
         F.col("category_id").alias("_at"), F.coalesce("name", F.lit("")).alias("_name"), F.col("parent_id").alias("_next")
     )
     walk = nodes.select(
-        "category_id", F.coalesce("name", F.lit("")).alias("path"), F.col("parent_id").alias("_at")
+        "category_id",
+        F.coalesce("name", F.lit("")).alias("path"),
+        F.col("parent_id").alias("_at"),
+        F.array("category_id").alias("_seen"),
     )
     done = []
-    for depth in range(max_depth):
+    for depth in itertools.count():
+        if max_depth is None:
+            again = F.coalesce(F.array_contains("_seen", F.col("_at")), F.lit(False))
+        else:
+            again = F.lit(depth == max_depth)
+        done.append(walk.filter(again).select("category_id", "path"))
+        walk = walk.filter(~again)
         step = materialize(walk.join(up, "_at", "left"), "categories")
         done.append(step.filter("_next is null and _name is null").select("category_id", "path"))
         walk = step.filter("_name is not null").select(
             "category_id",
             F.concat_ws("/", "_name", "path").alias("path"),
             F.col("_next").alias("_at"),
+            F.array_append("_seen", F.col("_at")).alias("_seen"),
         )
         if walk.isEmpty():
             break
-    else:
-        done.append(walk.select("category_id", "path"))
     # ancestors without a name at the top leave no mark
     return reduce(DataFrame.unionByName, done).withColumn("path", F.regexp_replace("path", "^/+", ""))
 
 
-def with_category_paths(items: DataFrame, paths: DataFrame) -> DataFrame:
-    known = paths.select("category_id", F.col("path").alias("_path"))
-    return items.join(known, "category_id", "left").withColumn(
-        "category_path", F.coalesce("_path", "category_path")
-    ).drop("_path")
-
-
 # --- index upkeep ---
 
 

@@ -2,63 +2,71 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType
 
-from linewright.functions.text import let
-
-SAMPLE_CHARS = 4000
+# fixed values: the delimiters that are told apart
+DELIMITERS = "\t;,|"
 
 
 def vote_delimiter(text: Column) -> Column:
-    """The most frequent of tab, semicolon and comma at the start of a file.
+    """The most frequent of tab, semicolon, comma and bar in a file; at a tie the comma, then the semicolon.
 
-    Tab must beat both others, semicolon must beat the comma.
+    Tab must beat all others, the bar all but the tab, semicolon must beat the comma.
     """
-    sample = F.substring(text, 1, SAMPLE_CHARS)
-    count = lambda p: F.regexp_count(sample, F.lit(p))
-    tabs, semicolons, commas = count("\t"), count(";"), count(",")
-    return F.when((tabs > semicolons) & (tabs > commas), "\t").when(semicolons > commas, ";").otherwise(",")
+    tabs, semicolons, commas, bars = (F.regexp_count(text, F.lit(f"[{d}]")) for d in DELIMITERS)
+    return (
+        F.when((tabs > semicolons) & (tabs > commas) & (tabs >= bars), "\t")
+        .when((bars > semicolons) & (bars > commas), "|")
+        .when(semicolons > commas, ";")
+        .otherwise(",")
+    )
 
 
-def split_fields(line: Column, sep: Column) -> Column:
-    """Fields of a delimited line; a separator inside double quotes does not count.
+@pandas_udf(ArrayType(ArrayType(StringType())))
+def _records(texts: pd.Series, seps: pd.Series) -> pd.Series:
+    """The records of delimited texts; a quoted field may hold delimiters and line breaks."""
 
-    A separator counts when an even number of quotes follows it.
-    """
-    literal = F.concat(F.lit(r"\Q"), sep, F.lit(r"\E"))
+    def read(text: str, sep: str) -> list[list[str]]:
+        # one field may be as long as the whole text
+        csv.field_size_limit(max(csv.field_size_limit(), len(text) + 1))
+        lines = (line for line in io.StringIO(text, newline=None) if line.strip())
+        return [record for record in csv.reader(lines, delimiter=sep) if any(f.strip() for f in record)]
+
+    return pd.Series([read(t, s) if t else [] for t, s in zip(texts, seps)], dtype=object)
 
-    def mark(pieces: Column) -> Column:
-        outside = lambda p, i: F.when(
-            (F.size(pieces) - i) % 2 == 1, F.replace(p, sep, F.lit("\x01"))
-        ).otherwise(p)
-        return F.array_join(F.transform(pieces, outside), '"')
 
-    marked = let(F.split(line, '"'), mark)
-    unquote = lambda f: F.when(
-        f.rlike(r'(?s)^\s*".*"\s*$'), F.replace(F.regexp_extract(f, r'(?s)^\s*"(.*)"\s*$', 1), F.lit('""'), F.lit('"'))
-    ).otherwise(f)
-    quoted = F.transform(F.split(marked, "\x01"), unquote)
-    return F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, literal))
+def _placed(texts: DataFrame, sep: str | None) -> DataFrame:
+    cleaned = texts.withColumn("text", F.regexp_replace("text", "^\ufeff+", ""))
+    cleaned = cleaned.withColumn("sep", vote_delimiter(F.col("text")) if sep is None else F.lit(sep))
+    records = cleaned.select("file_id", _records("text", "sep").alias("records"))
+    width = F.size(F.get("records", F.lit(0)))
+    return records.select("file_id", width.alias("width"), F.posexplode("records").alias("record", "fields"))
 
 
 def text_cells(texts: DataFrame, sep: str | None = None) -> DataFrame:
     """``cells(file_id, sheet, row, col, value)`` of whole texts ``(file_id, text)``.
 
     Blank lines count no row, a byte order mark is dropped, empty fields are
-    null. Lines with more fields than the first one are skipped, as bad lines.
+    null. Records with more fields than the first one are bad and are left out
+    and not counted; :func:`wide_records` lists them.
     """
-    cleaned = texts.withColumn("text", F.regexp_replace("text", "^﻿+", ""))
-    cleaned = cleaned.withColumn("sep", vote_delimiter(F.col("text")) if sep is None else F.lit(sep))
-    lines = F.filter(F.split("text", r"\r?\n|\r"), lambda l: F.trim(l) != "")
-    fields = F.transform(lines, lambda l: split_fields(l, F.col("sep")))
-    # lines wider than the first one are bad
-    good = let(fields, lambda all_: F.filter(all_, lambda f: F.size(f) <= F.size(F.get(all_, F.lit(0)))))
-    return (
-        cleaned.select("file_id", F.posexplode(good).alias("row", "fields"))
-        .select("file_id", F.lit("Sheet1").alias("sheet"), "row", F.posexplode("fields").alias("col", "value"))
-        .withColumn("value", F.when(F.trim("value") != "", F.col("value")))
-    )
+    placed = _placed(texts, sep).filter(F.size("fields") <= F.col("width"))
+    kept = F.sort_array(F.collect_list(F.struct("record", "fields")))
+    rows = placed.groupBy("file_id").agg(kept.alias("kept")).select("file_id", F.posexplode("kept").alias("row", "r"))
+    cells = rows.select("file_id", F.lit("Sheet1").alias("sheet"), "row", F.posexplode("r.fields").alias("col", "value"))
+    return cells.withColumn("value", F.when(F.trim("value") != "", F.col("value")))
+
+
+def wide_records(texts: DataFrame, sep: str | None = None) -> DataFrame:
+    """``(file_id, record, fields)``: records that are wider than the first one of their file."""
+    return _placed(texts, sep).filter(F.size("fields") > F.col("width")).drop("width")
 
 
 def read_grid_files(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:

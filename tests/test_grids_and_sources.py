@@ -96,6 +96,22 @@ def test_text_cells(spark):
     texts = spark.createDataFrame([("f", '﻿a;b\n\n"x;y";"say ""hi"""\n1;2;3\n;z\n')], "file_id string, text string")
     got = {(r.row, r.col): r.value for r in grids.text_cells(texts).collect()}
     assert got == {(0, 0): "a", (0, 1): "b", (1, 0): "x;y", (1, 1): 'say "hi"', (2, 0): None, (2, 1): "z"}
+    assert [(r.record, r.fields) for r in grids.wide_records(texts).collect()] == [(2, ["1", "2", "3"])]
+
+
+def test_bars_line_breaks_and_late_delimiters(spark):
+    texts = spark.createDataFrame([("bar", "a|b\n1|2"), ("quoted", 'n;m\n"x\ny";1\n'), ("late", "title " * 2000 + "\nx;y;z\n" * 3), ("none", None), ("empty", "")], "file_id string, text string")
+    cells = {(r.file_id, r.row, r.col): r.value for r in grids.text_cells(texts).collect()}
+    assert cells["bar", 1, 1] == "2" and cells["quoted", 1, 0] == "x\ny" and cells["quoted", 1, 1] == "1"
+    assert not any(k[0] in ("none", "empty") for k in cells)
+    assert grids.wide_records(texts).count() == 3
+
+
+def test_grid_files(spark, tmp_path):
+    (tmp_path / "one.csv").write_text("Товар;Цена\nБолт;5\n", encoding="utf-8")
+    (tmp_path / "two.txt").write_text("Товар|Цена\nГайка|7\n", encoding="utf-8")
+    got = {(r.file_id, r.row, r.col): r.value for r in grids.read_grid_files(spark, str(tmp_path)).collect()}
+    assert got["one.csv", 1, 0] == "Болт" and got["two.txt", 1, 1] == "7"
 
 
 def test_catalog_files_with_two_layouts(spark, tmp_path):
@@ -133,6 +149,8 @@ def test_erp_records(spark):
 def test_category_cycles_end(spark):
     loop = spark.createDataFrame([("a", "A", "b"), ("b", "B", "a")] + [(f"n{i}", f"N{i}", f"n{i - 1}") for i in range(15)], "category_id string, name string, parent_id string")
     got = {r.category_id: r.path for r in C.category_paths(loop).collect()}
+    assert (got["a"], got["b"], len(got["n14"].split("/"))) == ("B/A", "A/B", 15)
+    got = {r.category_id: r.path for r in C.category_paths(loop, max_depth=10).collect()}
     assert got["a"].split("/")[-1] == "A" and len(got["a"].split("/")) == 11
     assert got["n2"] == "N0/N1/N2" and len(got["n14"].split("/")) == 11
 

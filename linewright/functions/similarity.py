@@ -48,18 +48,29 @@ def lexeme_tokens(text: Column) -> Column:
 
 def lexeme_positions(lexemes: Column) -> Column:
     """``map<lexeme, positions>`` of an array of lexemes; null entries keep their place."""
-    distinct = F.array_distinct(F.filter(lexemes, lambda w: w.isNotNull()))
-    return let(
-        F.transform(lexemes, lambda w, i: F.struct(w.alias("w"), (i + 1).alias("i"))),
-        lambda placed: F.map_from_entries(
-            F.transform(
-                distinct,
-                lambda w: F.struct(
-                    w, F.transform(F.filter(placed, lambda p: p["w"] == w), lambda p: p["i"])
-                ),
+    placed = F.transform(lexemes, lambda w, i: F.struct(w.alias("w"), (i + 1).alias("i")))
+
+    def grouped(sorted_: Column) -> Column:
+        # after one sort the places of a lexeme are neighbours
+        new = F.transform(
+            sorted_, lambda p, i: F.when((i == 0) | (F.get(sorted_, i - 1)["w"] != p["w"]), i)
+        )
+
+        def cut(starts: Column) -> Column:
+            end = lambda k: F.coalesce(F.get(starts, k + 1), F.size(sorted_))
+            return F.map_from_entries(
+                F.transform(
+                    starts,
+                    lambda at, k: F.struct(
+                        F.get(sorted_, at)["w"],
+                        F.transform(F.slice(sorted_, at + 1, end(k) - at), lambda p: p["i"]),
+                    ),
+                )
             )
-        ),
-    )
+
+        return let(F.filter(new, lambda i: i.isNotNull()), cut)
+
+    return let(F.sort_array(F.filter(placed, lambda p: p["w"].isNotNull())), grouped)
 
 
 # weight of a plain position and the limit of sum(1/i^2), as the ranking formula has them

@@ -29,7 +29,7 @@ ARTICLE_PLAIN = r"(?U)^\d{6,}$"
 
 @pandas_udf(StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t.isascii() else unicodedata.normalize("NFKC", t), na_action="ignore")
+    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -118,7 +118,8 @@ def replace_bounded(text: Column, table: dict[str, str]) -> Column:
 
 
 def clean_unicode(text: Column) -> Column:
-    text = F.lower(_nfkc(text))
+    # ASCII stays as it is; only other texts are sent to Python
+    text = F.lower(F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7f]"), text)), text))
     text = F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]", "")
     text = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
     # dashes become '-', every quote mark goes

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewright.session import materialize
 
-PIVOTS = 64
+MOST_PIVOTS = 1024
 BLOCK_ROWS = 4096
 
 
@@ -27,39 +27,55 @@ def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(a @ b.T, -1.0, 1.0))
 
 
-def usable(df: DataFrame, vector: str = "vector", width: int | None = None) -> DataFrame:
-    """Rows whose vector has the common width, no nulls and a length above zero."""
+def _is_usable(vector: str) -> Column:
     ok = F.col(vector).isNotNull() & F.exists(vector, lambda v: v != 0)
-    ok = ok & ~F.exists(vector, lambda v: v.isNull() | F.isnan(v))
-    if width is not None:
-        ok = ok & (F.size(vector) == width)
-    return df.filter(ok)
+    return F.coalesce(ok & ~F.exists(vector, lambda v: v.isNull() | F.isnan(v)), F.lit(False))
+
+
+def usable(df: DataFrame, vector: str = "vector") -> DataFrame:
+    """Rows whose vector has no nulls and a length above zero."""
+    return df.filter(_is_usable(vector))
+
+
+def rejected(df: DataFrame, vector: str = "vector", width: int | None = None) -> DataFrame:
+    """Rows whose vector no search can use, or that have another width than the wanted one."""
+    wrong = ~_is_usable(vector)
+    return df.filter(wrong if width is None else wrong | (F.size(vector) != width))
 
 
 def nearest(queries: DataFrame, items: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(query_id, product_id, sem_score, sem_rank)``: the ``k`` best items per query.
 
     ``queries`` is ``(query_id, vector)``, ``items`` is ``(product_id, vector)``.
-    Scores are rounded to 1e-9 and equal scores rank by ``product_id``.
+    A query meets the items of its own width; :func:`rejected` lists what takes
+    no part. Scores are rounded to 1e-9 and equal scores rank by ``product_id``.
     """
-    head = queries.sparkSession
+    items = usable(items.select("product_id", "vector"))
+    queries = usable(queries.select("query_id", "vector"))
+    asked = queries.select(F.size("vector").alias("width")).distinct()
+    widths = items.groupBy(F.size("vector").alias("width")).agg(F.count("*").alias("n")).join(asked, "width").orderBy("width")
+    found = None
+    for width, n in widths.collect():
+        same = [df.filter(F.size("vector") == width) for df in (queries, items)]
+        part = _nearest(*same, n, k, block_rows)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return queries.join(items, F.lit(False)).select(
+            "query_id", "product_id", F.lit(0.0).alias("sem_score"), F.lit(0).alias("sem_rank")
+        )
+    return found
+
+
+def _nearest(queries: DataFrame, items: DataFrame, n: int, k: int, block_rows: int) -> DataFrame:
+    """The search among vectors of one width."""
     schema = (
         f"query_id {queries.schema['query_id'].dataType.simpleString()}, "
         f"product_id {items.schema['product_id'].dataType.simpleString()}, sem_score double"
     )
-    first = items.select("vector").filter("vector is not null").take(1)
-    if not first:
-        empty = head.createDataFrame([], schema)
-        return empty.withColumn("sem_rank", F.lit(0))
-    width = len(first[0].vector)
-    items = usable(items.select("product_id", "vector"), width=width)
-    queries = usable(queries.select("query_id", "vector"), width=width)
-
-    chosen = items.orderBy(F.xxhash64("product_id"), "product_id").limit(PIVOTS).collect()
-    if not chosen:
-        empty = head.createDataFrame([], schema)
-        return empty.withColumn("sem_rank", F.lit(0))
-    pivots = _unit([row.vector for row in chosen])  # at most PIVOTS x width numbers
+    # as many cells as items in a cell, up to a bound
+    wanted = min(MOST_PIVOTS, max(16, int(n**0.5)))
+    chosen = items.orderBy(F.xxhash64("product_id"), "product_id").limit(wanted).collect()
+    pivots = _unit([row.vector for row in chosen])
 
     def assign(batches):
         for pdf in batches:
@@ -109,7 +125,9 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, block_rows: int = BLOC
         ids = right["product_id"].to_numpy()
         keep = []
         for row in scores:
-            order = np.lexsort((ids, -row))[:k]
+            # only what reaches the k-th best is put in order
+            top = np.arange(len(row)) if len(row) <= k else np.flatnonzero(row >= np.partition(row, -k)[-k])
+            order = top[np.lexsort((ids[top], -row[top]))[:k]]
             keep.append((order, row[order]))
         return pd.DataFrame(
             {

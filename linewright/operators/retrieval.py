@@ -16,7 +16,7 @@ from linewright.options import MatchOptions
 from linewright.session import materialize, spread
 
 HOT_ROWS = 20_000  # postings of one key beyond this are split over several tasks
-FLOORS = (0.35,)  # a score that may already fill the list of a query
+FLOORS = (0.42, 0.35, 0.28, 0.21)  # scores that may already fill the list of a query
 
 NAME_FACTOR, DOCUMENT_FACTOR = 0.8, 0.5
 
@@ -308,6 +308,17 @@ def _scored(pairs: DataFrame, queries: DataFrame, classes: DataFrame) -> DataFra
     )
 
 
+def _close(pairs: DataFrame | None, queries: DataFrame, classes: DataFrame, grams: str, threshold: float) -> DataFrame | None:
+    """The candidate pairs whose similarity by one text does reach the threshold, up to rounding."""
+    if pairs is None:
+        return None
+    l = queries.select(F.col("query_id").alias("l_id"), "q_grams")
+    r = classes.select(F.col("class_id").alias("r_id"), F.col(grams).alias("r_grams"))
+    measured = spread(pairs, "l_id", "r_id").distinct().join(r, "r_id").join(l, "l_id")
+    reached = S.jaccard(F.col("q_grams"), F.col("r_grams")) >= threshold - 1e-8
+    return measured.filter(reached).select("l_id", "r_id")
+
+
 def _union(parts: list[DataFrame | None]) -> DataFrame:
     return reduce(DataFrame.unionByName, [p for p in parts if p is not None])
 
@@ -351,10 +362,12 @@ def lexical_matches(
         )
         name_t = name_threshold if floor is None else floor / NAME_FACTOR
         document_t = document_threshold if floor is None else floor / DOCUMENT_FACTOR
+        # each list is cut by its own measure first; the full score is for what is left
+        close = lambda pairs, grams, least: _close(pairs, open_queries, index.classes, grams, least)
         candidates = _union(
             [
-                _gram_candidates(among(by_name), index.name_grams, name_t),
-                _gram_candidates(among(by_document), index.document_grams, document_t),
+                close(_gram_candidates(among(by_name), index.name_grams, name_t), "name_grams", name_t),
+                close(_gram_candidates(among(by_document), index.document_grams, document_t), "document_grams", document_t),
                 _term_candidates(among(by_term), index.postings, floor),
             ]
         )

@@ -12,7 +12,7 @@ from linewright.operators import mappings as M
 from linewright.operators import reporting as R
 from linewright.plans import ingest
 from linewright.session import scratch_path
-from linewright.sources import catalog_files, erp, grids, lines, sinks
+from linewright.sources import catalog_files, catalog_source, erp, grids, lines, sinks
 
 
 def _csv_export(spark, sf, sep):
@@ -161,17 +161,35 @@ def a9(spark, sf):
 
 
 @query("A10_dictionary_use", """
-SELECT 'none' AS kind, count(*) AS lines FROM (SELECT unnest(string_split(text, chr(10))) FROM conversations)""")
+SELECT CASE WHEN p_size % 3 < 2 THEN 'unit' ELSE 'none' END AS kind, CASE p_size % 3 WHEN 0 THEN 'kg' WHEN 1 THEN 'mm' END AS target, count(*) AS lines FROM part GROUP BY 1, 2""")
 def a10(spark, sf):
-    rows = table(spark, sf, "conversations").select(F.explode(F.split("text", "\n")).alias("line"))
-    first = F.coalesce(F.regexp_extract(F.lower("line"), r"(?U)^[а-я]+", 0), F.lit(""))
-    entries = _units(spark)
-    known = rows.withColumn("source", first).join(entries, "source", "left")
-    return known.groupBy(F.coalesce("kind", F.lit("none")).alias("kind")).agg(F.count("*").alias("lines"))
+    unit = F.element_at(F.array(*[F.lit(u) for u in ("кг", "мм", "слово")]), F.col("p_size") % 3 + 1)
+    rows = table(spark, sf, "part").select(F.concat_ws(" ", unit, "p_name").alias("line"))
+    first = F.regexp_extract("line", r"(?U)^[а-я]+", 0)
+    known = rows.withColumn("source", first).join(_units(spark), "source", "left")
+    return known.groupBy(F.coalesce("kind", F.lit("none")).alias("kind"), "target").agg(F.count("*").alias("lines"))
 
 
 def _units(spark):
-    return D.dictionary_frame(spark).filter("kind = 'unit'").select("source", "kind")
+    return D.dictionary_frame(spark).filter("kind = 'unit'").select("source", "kind", "target")
+
+
+@query("I2_catalog_sources", """
+SELECT 'T' || p_partkey AS product_id, p_name AS name, NULL AS unit FROM part WHERE p_partkey % 3 = 0
+UNION ALL SELECT 'F' || p_partkey, p_name, 'шт' FROM part WHERE p_partkey % 3 = 1
+UNION ALL SELECT 'E' || p_partkey, p_name, NULL FROM part WHERE p_partkey % 3 = 2""")
+def i2(spark, sf):
+    part = table(spark, sf, "part")
+    third = lambda i: part.filter(F.col("p_partkey") % 3 == i)
+    files, pages = scratch_path(spark, "files"), scratch_path(spark, "pages")
+    third(1).select(F.concat(F.lit("F"), text("p_partkey")).alias("id"), F.col("p_name").alias("name"), F.lit("шт").alias("ед")).write.csv(files, sep=";", header=True)
+    record = F.to_json(F.struct(F.concat(F.lit("E"), text("p_partkey")).alias("Ref_Key"), F.col("p_name").alias("Description")))
+    body = third(2).groupBy(F.col("p_partkey") % 5).agg(F.array_join(F.collect_list(record), ",").alias("r"))
+    body.select(F.concat(F.lit('{"value": ['), "r", F.lit("]}")).alias("value")).coalesce(1).write.option("maxRecordsPerFile", 1).text(pages)
+    raw = third(0).select(F.concat(F.lit("T"), text("p_partkey")).alias("product_id"), F.col("p_name").alias("name"))
+    sources = [catalog_source.CatalogTable(raw), catalog_source.CatalogFiles(files), catalog_source.ErpPages(pages), catalog_source.ErpPages(files + "-absent")]
+    rows = catalog_source.read_sources(spark, sources)
+    return rows.select(F.coalesce("product_id", "onec_ref").alias("product_id"), "name", "unit")
 
 
 @query("A11_catalog_upsert", with_sql(CATALOG, body="""

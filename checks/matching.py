@@ -699,3 +699,11 @@ def e26_summary(spark, sf):
     return matched(spark, sf).groupBy("status").agg(
         F.count("*").alias("lines"), F.count_distinct("best_product_id").alias("products"), F.round(F.avg(F.round("confidence", 6)), 6).alias("mean_confidence")
     )
+
+
+@query("I3_retrieval_sizes", with_sql(CATALOG, QUERIES_SQL, *lexical_sql(0.5, 0.4, 7), body="""
+SELECT q AS query_id, product_id, lex AS lexical_score, row_number() OVER (PARTITION BY q ORDER BY lr, product_id) AS retrieval_rank FROM lexical QUALIFY retrieval_rank <= 3"""))
+def i3_sizes(spark, sf):
+    options = MatchOptions(retrieval_top_n=3, list_cap=7, name_threshold=0.5, document_threshold=0.4, relaxed_top_n=0)
+    found = R.hybrid_search(_queries(spark, sf), catalog(spark, sf), options=options)
+    return found.select("query_id", "product_id", "lexical_score", F.col("retrieval_rank").cast("bigint").alias("retrieval_rank"))

@@ -127,6 +127,7 @@ def _gate_sql(name, label, sign, verb, limit):
 
 _A = _gate_sql("top1_accuracy", "Top-1 accuracy", 1, "dropped", 0.02)
 _P = _gate_sql("auto_match_fp_rate", "FP rate", -1, "increased", 0.01)
+_R = _gate_sql("top3_recall", "Top-3 recall", 1, "dropped", 0.03)
 
 
 @query("F6_quality_gate", with_sql(ITEMS, REQUESTS, ALL_METRICS, REPORTS, f"""latest AS (
@@ -227,10 +228,10 @@ def f15(spark, sf):
 
 
 @query("F16_request_items", with_sql(ITEMS, body="""
-SELECT request_item_id, status, count(*) OVER () AS total FROM items WHERE request_id = 'R7' AND status = 'no_match'
+SELECT request_item_id, status, count(*) OVER () AS total FROM items WHERE request_id = 'R3' AND status = 'no_match'
 ORDER BY created_at, request_item_id LIMIT 50"""))
 def f16(spark, sf):
-    return R.request_items(items(spark, sf), "R7", "no_match").select("request_item_id", "status", "total")
+    return R.request_items(items(spark, sf), "R3", "no_match").select("request_item_id", "status", "total")
 
 
 @query("F17_item_candidates", with_sql(ITEMS, CANDIDATES, CATALOG, body="""
@@ -446,3 +447,29 @@ def f35(spark, sf):
     return table(spark, sf, "conversations").groupBy("role").agg(
         F.count("*").alias("calls"), F.sum(R.estimated_embedding_tokens(F.col("text"))).alias("tokens")
     )
+
+
+@query("F6_quality_gate_with_recall", with_sql(ITEMS, REQUESTS, ALL_METRICS, CANDIDATES, REPORTS, f"""latest AS (
+  SELECT * FROM reports WHERE scope = 'all' ORDER BY created_at DESC, report_id DESC LIMIT 1),
+recall AS (SELECT round(avg(CASE WHEN EXISTS (SELECT 1 FROM candidates c WHERE c.request_item_id = i.request_item_id
+  AND c.product_id = i.final_product_id AND c.retrieval_rank <= 3) THEN 1.0 ELSE 0.0 END), 4) AS top3_recall
+  FROM items i WHERE final_decision IS NOT NULL AND final_product_id IS NOT NULL),
+judged AS (SELECT {_A[0]} AS a, {_R[0]} AS r, {_P[0]} AS p, {_A[1]} AS ai, {_R[1]} AS ri, {_P[1]} AS pi FROM (SELECT * EXCLUDE (top3_recall) FROM metrics, (SELECT NULL AS top3_recall) LIMIT 1) m, recall, LATERAL (SELECT m.*, recall.top3_recall) c, latest b)""", body="""
+SELECT a IS NULL AND r IS NULL AND p IS NULL AS passed, concat_ws('; ', a, r, p) AS regressions, concat_ws('; ', ai, ri, pi) AS improvements FROM judged"""))
+def f6_recall(spark, sf):
+    rows = items(spark, sf)
+    metrics = R.with_recall(R.quality_metrics(rows, requests(spark, sf)), rows, _candidates(spark, sf))
+    gate = R.quality_gate(metrics, _reports(spark, sf))
+    return gate.select("passed", F.array_join("regressions", "; ").alias("regressions"), F.array_join("improvements", "; ").alias("improvements"))
+
+
+@query("F35_rerank_estimate", """
+WITH asked AS (SELECT conv_id, text AS q FROM conversations WHERE turn = 0),
+told AS (SELECT conv_id, list(text) AS docs FROM conversations WHERE turn > 0 GROUP BY 1)
+SELECT conv_id, CAST(len(list_filter(string_split_regex(q, '\\s+'), lambda w: w <> '')) + list_sum(list_transform(docs, lambda d: len(list_filter(string_split_regex(d, '\\s+'), lambda w: w <> '')))) AS BIGINT) AS tokens
+FROM asked JOIN told USING (conv_id)""")
+def f35_rerank(spark, sf):
+    turns = table(spark, sf, "conversations")
+    asked = turns.filter("turn = 0").select("conv_id", F.col("text").alias("q"))
+    told = turns.filter("turn > 0").groupBy("conv_id").agg(F.collect_list("text").alias("docs"))
+    return asked.join(told, "conv_id").select("conv_id", R.estimated_rerank_tokens(F.col("q"), F.col("docs")).alias("tokens"))

@@ -207,6 +207,13 @@ def top3_recall(items: DataFrame, candidates: DataFrame) -> DataFrame:
     )
 
 
+def with_recall(metrics: DataFrame, items: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Metrics of all items with their top-3 recall, as the quality gate reads them."""
+    recall = top3_recall(items, candidates).select("top3_recall")
+    kept = [c for c in metrics.columns if c != "top3_recall"]
+    return metrics.select(*kept).withColumn("top3_recall", recall.scalar())
+
+
 def quality_snapshot(metrics: DataFrame, report_id: str, scope: str, scope_value: str | None, at: Column) -> DataFrame:
     """Metrics as one report row, to be appended to the reports table."""
     return metrics.select(
@@ -367,3 +374,9 @@ def word_count(text: Column) -> Column:
 def estimated_embedding_tokens(text: Column) -> Column:
     """Two tokens per word, for calls that report none."""
     return word_count(text) * 2
+
+
+def estimated_rerank_tokens(query: Column, documents: Column) -> Column:
+    """One token per word of the query and of all its documents."""
+    words = F.transform(F.coalesce(documents, F.array().cast("array<string>")), word_count)
+    return word_count(query) + F.aggregate(words, F.lit(0).cast("long"), lambda total, n: total + n)

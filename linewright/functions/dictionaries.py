@@ -178,7 +178,6 @@ ARTICLE_WORDS = ["артикул", "арт", "код", "sku", "article", "code",
 SUPPLIER_WORDS = ["клиент", "поставщик", "заказчик", "покупатель", "supplier", "client"]
 CATALOG_WORDS = ["каталог", "наш", "эталон", "база", "справочник", "catalog", "reference"]
 TARGET_PHRASES = ["номенклатура клиента", "наименование клиента"]
-TOTAL_ROW_WORDS = ["итого", "всего", "total", "subtotal", "сумма", "итог"]
 
 # preferred columns of a tabular upload
 LINE_TEXT_COLUMNS = [

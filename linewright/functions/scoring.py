@@ -26,6 +26,10 @@ SUPPLIER_SCORE = 0.995
 ARTICLE_BRAND_SCORE = 0.985
 AUTO, REVIEW = 0.93, 0.75
 STRICT_AUTO, STRICT_REVIEW = 0.96, 0.80
+ARTICLE_BONUS, CODE_BONUS, BRAND_NUMBER_BONUS, ALIAS_BONUS = 0.05, 0.05, 0.03, 0.02
+NUMBER_PENALTY, NUMBER_PENALTY_WITHOUT_CODES = -0.18, -0.08
+CATEGORY_PENALTY, PACKAGING_PENALTY, UNIT_PENALTY, BRAND_PENALTY = -0.15, -0.12, -0.10, -0.08
+SURE_NUMBERS, SURE_RERANK, UNSURE_NUMBERS = 0.9, 0.95, 0.6
 # --- end of fixed values ---
 
 FEATURES = [
@@ -170,23 +174,23 @@ def with_score(features: DataFrame) -> DataFrame:
     points = lambda condition, value: F.when(condition, F.lit(value)).otherwise(F.lit(0.0))
     no_code = (c("article_exact") == 0.0) & (c("manufacturer_code_exact") == 0.0)
     bonus = (
-        points(c("article_exact") == 1.0, 0.05)
-        + points(c("manufacturer_code_exact") == 1.0, 0.05)
-        + points((c("brand_exact") == 1.0) & (c("number_signature_score") >= 0.9), 0.03)
-        + points(c("alias_hit") == 1.0, 0.02)
+        points(c("article_exact") == 1.0, ARTICLE_BONUS)
+        + points(c("manufacturer_code_exact") == 1.0, CODE_BONUS)
+        + points((c("brand_exact") == 1.0) & (c("number_signature_score") >= SURE_NUMBERS), BRAND_NUMBER_BONUS)
+        + points(c("alias_hit") == 1.0, ALIAS_BONUS)
     )
     penalty = (
-        points(c("critical_number_conflict") & c("candidate_has_identifiers"), -0.18)
-        + points(c("critical_number_conflict") & ~c("candidate_has_identifiers"), -0.08)
-        + points(c("category_conflict"), -0.15)
-        + points(c("packaging_conflict"), -0.12)
-        + points(c("unit_conflict"), -0.10)
-        + points(c("brand_conflict") & no_code, -0.08)
+        points(c("critical_number_conflict") & c("candidate_has_identifiers"), NUMBER_PENALTY)
+        + points(c("critical_number_conflict") & ~c("candidate_has_identifiers"), NUMBER_PENALTY_WITHOUT_CODES)
+        + points(c("category_conflict"), CATEGORY_PENALTY)
+        + points(c("packaging_conflict"), PACKAGING_PENALTY)
+        + points(c("unit_conflict"), UNIT_PENALTY)
+        + points(c("brand_conflict") & no_code, BRAND_PENALTY)
     )
     forbidden = (
         (c("critical_number_conflict") & no_code & c("candidate_has_identifiers"))
-        | (c("category_conflict") & (c("rerank_score") < 0.95))
-        | (c("brand_conflict") & (c("number_signature_score") < 0.6))
+        | (c("category_conflict") & (c("rerank_score") < SURE_RERANK))
+        | (c("brand_conflict") & (c("number_signature_score") < UNSURE_NUMBERS))
     )
     cut = c("short_circuit").isNotNull()
     return (
@@ -241,7 +245,7 @@ def status_of(score: Column, forbidden: Column, auto: Column, review: Column) ->
 
 
 def reasons() -> Column:
-    """Texts that explain a scored pair, in a fixed order."""
+    """Texts that explain a scored pair; texts, limits and order are fixed values."""
     c = F.col
 
     def note(*cases: tuple[Column, str]) -> Column:

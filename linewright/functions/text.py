@@ -19,12 +19,15 @@ from pyspark.sql.types import StringType
 
 from linewright.functions import dictionaries as D
 
+# --- fixed values: the patterns of the reference behavior ---
 NUMBER = r"(?U)\d+(?:\.\d+)?"
 DIMENSION = (
     r"(?U)(\d+(?:[.,]\d+)?)\s*[xхXХ*×]\s*(\d+(?:[.,]\d+)?)(?:\s*[xхXХ*×]\s*(\d+(?:[.,]\d+)?))?"
 )
 ARTICLE_PREFIXED = r"(?iu)^(?:арт\.?|art\.?)(\d{6,})$"
 ARTICLE_PLAIN = r"(?U)^\d{6,}$"
+CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
+# --- end of fixed values ---
 
 
 @pandas_udf(StringType())
@@ -120,7 +123,7 @@ def replace_bounded(text: Column, table: dict[str, str]) -> Column:
 def clean_unicode(text: Column) -> Column:
     # ASCII stays as it is; only other texts are sent to Python
     text = F.lower(F.coalesce(_nfkc(F.when(text.rlike(r"[^\x00-\x7f]"), text)), text))
-    text = F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]", "")
+    text = F.regexp_replace(text, CONTROL, "")
     text = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
     # dashes become '-', every quote mark goes
     return F.translate(text, "–—‐«»\"'", "---")

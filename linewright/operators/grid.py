@@ -17,17 +17,22 @@ from linewright.session import materialize
 
 SHEET = ["file_id", "sheet"]
 REGION = [*SHEET, "region"]
+
+# --- fixed values: shares, row counts and patterns of the detection rules ---
 EMPTY_SHARE = 0.85
 HEADER_ROWS, TITLE_ROWS, NAME_ROWS, SAMPLE_ROWS = 20, 3, 5, 20
 NUMERIC_CELL = r"(?U)^-?\d+(?:[\.,]\d+)?\s*(?:руб|₽|шт|кг|л)?\.?$"
 PLAIN_NUMBER = r"(?U)^-?\d+(?:[\.,]\d+)?\s*$"
-TOTAL_ROW = r"(?iuU)^\s*(?:" + "|".join(D.TOTAL_ROW_WORDS) + r")\b"
+TOTAL_ROW = r"(?iuU)^\s*(?:итого|всего|total|subtotal|сумма|итог)\b"
+# a header row: known words, filled cells, variety, brevity against this mean length
+HEADER_HIT, HEADER_CELL, HEADER_VARIETY, HEADER_BREVITY, HEADER_LENGTH = 5, 1.5, 3, 4, 15
 SUPPLIER_PATTERNS = [
     (r"(?iuU)(?:номенклатура\s+клиента)\s*[=:–—-]\s*(.+)", 1),
     (r"(?iuU)(?:клиент|поставщик|заказчик)\s*[=:]\s*(.+)", 1),
     (r"(?iuU)(?:номенклатура\s+(?:клиента|поставщика))\s*[=:–—-]\s*(.+)", 1),
     (r"(?iuU)^(ООО|ОАО|АО|ИП|ЗАО)\s+.+", 1),
 ]
+# --- end of fixed values ---
 
 
 def _has_any(text: Column, words: list[str]) -> Column:
@@ -127,8 +132,13 @@ def header_scores(cells: DataFrame, regions: DataFrame) -> DataFrame:
         )
         .filter("not (variety = 1 and n > 1)")
     )
-    brevity = F.greatest(F.lit(0.0), 2.0 - F.col("mean_length") / 15)
-    score = F.col("hits") * 5 + F.col("cells") * 1.5 + F.col("variety") / F.col("n") * 3 + brevity * 4
+    brevity = F.greatest(F.lit(0.0), 2.0 - F.col("mean_length") / HEADER_LENGTH)
+    score = (
+        F.col("hits") * HEADER_HIT
+        + F.col("cells") * HEADER_CELL
+        + F.col("variety") / F.col("n") * HEADER_VARIETY
+        + brevity * HEADER_BREVITY
+    )
     return rows.withColumn("score", F.round(score, 9))
 
 

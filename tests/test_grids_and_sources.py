@@ -20,10 +20,11 @@ def cells(spark, *frames):
 
 
 TWO_TABLES = [
-    ["Поставщик: ООО Ромашка", None, None, "Наш каталог", None],
-    ["Номенклатура", "Ед.изм", None, "Наименование", "Цена"],
-    ["Насос", "шт", None, "Насос grundfos", "100"],
-    ["Кабель", "м", None, "Кабель ВВГ", "25"],
+    ["Заказчик: Северный лес", None, None, "Каталог склада", None],
+    ["Номенклатура", "Единица", None, "Наименование", "Цена"],
+    ["Доска сосновая", "м", None, "Доска 40х150", "310"],
+    ["Саморез жёлтый", "кг", None, "Саморез 5х70", "95"],
+    ["Герметик", "шт", None, "Герметик акриловый", "220"],
 ]
 
 
@@ -35,13 +36,13 @@ def test_two_tables(spark):
     got = {r.region: r for r in regions.collect()}
     assert {r.header_row for r in got.values()} == {1}
     assert (got[1].role, got[2].role) == ("supplier_input", "catalog_reference")
-    assert got[1].supplier_name == "ООО Ромашка"
+    assert got[1].supplier_name == "Северный лес"
     summary = G.file_summary(regions, items).first()
-    assert (summary.tables_detected, summary.supplier_items, summary.catalog_items) == (2, 2, 2)
-    assert summary.supplier_name == "ООО Ромашка"
+    assert (summary.tables_detected, summary.supplier_items, summary.catalog_items) == (2, 3, 3)
+    assert summary.supplier_name == "Северный лес"
     rows = {(r.region, r.raw_text): r for r in items.collect()}
-    assert rows[1, "Насос"].unit == "шт" and rows[2, "Кабель ВВГ"].price == "25"
-    assert rows[2, "Кабель ВВГ"].original_row == {"Наименование": "Кабель ВВГ", "Цена": "25"}
+    assert rows[1, "Саморез жёлтый"].unit == "кг" and rows[2, "Саморез 5х70"].price == "95"
+    assert rows[2, "Саморез 5х70"].original_row == {"Наименование": "Саморез 5х70", "Цена": "95"}
 
 
 def types(spark, frame):
@@ -51,16 +52,18 @@ def types(spark, frame):
 
 
 def test_column_types(spark):
-    long = "очень длинное описание товара"
-    assert types(spark, [["h1", "h2", "h3"]] + [[str(i % 9), f"{i}000,5 руб", long] for i in range(5)]) == ["number", "price", "name"]
-    assert types(spark, [["h1", "h2", "Артикул"], ["шт", "AB", "1"], ["кг", "AB1234567", "2"], ["м", "A", "3"]]) == ["unit", "article", "article"]
-    assert types(spark, [["h1"], [None], [None]]) == ["other"]
+    wordy = ["плита газобетонная стеновая", "клей монтажный для плит", "сетка кладочная оцинкованная", "дюбель фасадный с гвоздём"]
+    table = [["x", "y", "z"]] + [[str(2 + i), f"{70 + 13 * i},25 руб", w] for i, w in enumerate(wordy)]
+    assert types(spark, table) == ["number", "price", "name"]
+    coded = [["x", "y", "Артикул"], ["кг", "ZK", "17"], ["шт", "ZK7654321", "18"], ["м", "K", "19"], ["л", "ZQ", "20"]]
+    assert types(spark, coded) == ["unit", "article", "article"]
+    assert types(spark, [["x"], [None], [None], [None]]) == ["other"]
 
 
 def test_title_rows_are_no_headers(spark):
-    frame = [[None, None], ["Прайс", "Прайс"], ["Наименование", "Цена"], ["Насос", "10"]]
+    frame = [["Весенний лист", "Весенний лист"], [None, None], [None, None], ["Наименование", "Цена"], ["Грунт универсальный", "64"]]
     df = cells(spark, frame)
-    assert G.header_rows(df, G.whole_sheets(df)).first().header_row == 2
+    assert G.header_rows(df, G.whole_sheets(df)).first().header_row == 3
 
 
 def test_items_skip_totals_and_repeats(spark):

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from linewright.llm.batches import in_small_batches
+
 #: Lines in a window.
 WINDOW = 3
 #: A stretch counts if its curve rises to this, or to a share of the page's highest rise.
@@ -242,7 +244,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     A null page has an empty text. Ids and urls are passed on as they are,
     nulls too; other columns are not looked at. An empty table gives no rows.
     """
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), main_text_of(F.col(html)).alias("text"))
+    rows = in_small_batches(pages).select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), main_text_of(F.col(html)).alias("text"))
     return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 

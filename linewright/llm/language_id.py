@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
+from linewright.llm.batches import in_small_batches
 from linewright.session import materialize
 
 #: Most documents that a model learns from, dealt evenly to the languages.
@@ -121,7 +122,7 @@ def train(
     that at most ``max_train`` (or one per language) take part. Texts without
     a letter teach nothing.
     """
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    rows = in_small_batches(docs).select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     rows = rows.where("text IS NOT NULL AND lang IS NOT NULL").where(~is_held_out(F.col("id")))
     named = rows.select("lang", F.xxhash64("id", "text").alias("key"))
     sizes = materialize(named.groupBy("lang").agg(F.count("*").alias("n")), "languages")
@@ -161,7 +162,7 @@ def classify(docs: DataFrame, model: Centroids, doc_id: str = "doc_id", text: st
             out["lang_pred"], out["score"], out["rejected"] = langs, scores, rejected
             yield out
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = in_small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = rows.mapInPandas(predict, "doc_id long, lang_pred string, score double, rejected boolean")
     lang = F.when(F.col("rejected") & F.lit(reject), F.lit(UNDETERMINED)).otherwise(F.col("lang_pred"))
     return found.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), lang.alias("lang_pred"), "score", "rejected")

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from linewright.llm.batches import in_small_batches
+from linewright.llm.columns import unused
 from linewright.llm.components import connected_components
 from linewright.session import materialize
 
@@ -135,7 +137,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     group without any id has a null one. Repeated rows stay. Other columns are
     not looked at. An empty table gives no rows.
     """
-    prints = docs.select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text)).alias("fp"))
+    prints = in_small_batches(docs).select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text)).alias("fp"))
     prints = materialize(prints, "fingerprints")
     ids = _group_heads(prints, F.col("doc_id")).withColumnRenamed("head", "component_id")
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
@@ -147,15 +149,13 @@ def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     Of each group one row with the smallest id stays, or one without an id
     where the group has none.
     """
-    rows = docs.select(
-        F.struct(*docs.columns).alias("row"),
-        F.col(doc_id).alias("id"),
-        F.monotonically_increasing_id().alias("at"),
-        fingerprints(F.col(text)).alias("fp"),
-    )
+    fp, at = unused(docs, "fp", "at")
+    rows = in_small_batches(docs).withColumns({fp: fingerprints(F.col(text)), at: F.monotonically_increasing_id()})
     rows = materialize(rows, "fingerprinted-rows")  # the numbers hold from here on
-    heads = _group_heads(rows.select("id", "at", "fp"), F.struct(F.col("id").isNull().alias("unnamed"), "id", "at"))
-    return rows.join(heads.select(F.col("head.at").alias("at")).distinct(), "at", "left_semi").select("row.*")
+    ids = rows.select(F.col(doc_id).alias("id"), F.col(at).alias("at"), F.col(fp).alias("fp"))
+    heads = _group_heads(ids, F.struct(F.col("id").isNull().alias("unnamed"), "id", "at"))
+    stay = heads.select(F.col("head.at").alias(at)).distinct()
+    return rows.join(stay, at, "left_semi").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

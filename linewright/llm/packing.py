@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from linewright.llm.batches import in_small_batches
 from linewright.operators.scans import running_position
 from linewright.session import materialize
 
@@ -103,7 +104,7 @@ def tokenized_pieces(
             out = pd.DataFrame(rows, columns=names)
             yield out.astype({"doc_id": "Int64"})
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = in_small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInPandas(encode, PIECES + ", ids array<long>" * with_ids)
 
 

@@ -17,6 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from linewright.llm.batches import in_small_batches
+from linewright.llm.columns import unused
+
 #: Most labelled documents that a model learns from, the first in hash order.
 MAX_TRAIN = 20_000
 #: Documents with this remainder of crc32(doc_id) by FOLDS are held out.
@@ -160,7 +163,7 @@ def train(
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).alias("label")).dropna().where(~is_held_out(F.col("id")))
     known = known.groupBy("id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(max_train)
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = in_small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     # at most max_train rows are sent to the tasks, and come back
     rows = rows.join(F.broadcast(known), rows.doc_id == known.id).select("id", "label", statistics_of("text").alias("stats"))
     sample = rows.groupBy("id").agg(F.min("label").alias("label"), F.min("stats").alias("stats")).orderBy("id").toPandas()
@@ -188,7 +191,7 @@ def classify(docs: DataFrame, model: Trees, doc_id: str = "doc_id", text: str =
     A null text is scored as an empty one. Other columns are not looked at. An
     empty table gives no rows.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), score(F.col(text), model).alias("score"))
+    rows = in_small_batches(docs).select(F.col(doc_id).alias("doc_id"), score(F.col(text), model).alias("score"))
     return rows.select(
         "doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
@@ -196,8 +199,8 @@ def classify(docs: DataFrame, model: Trees, doc_id: str = "doc_id", text: str =
 
 def keep_good(docs: DataFrame, model: Trees, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the model gives label 1, all columns as they were."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), score(F.col(text), model).alias("score"))
-    return rows.where(F.col("score") >= 0.5).select("row.*")
+    (found,) = unused(docs, "score")
+    return in_small_batches(docs).withColumn(found, score(F.col(text), model)).where(F.col(found) >= 0.5).drop(found)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,6 +46,9 @@ BLOCKS = set(
 #: Elements that are never part of an article; a header is one outside of it only.
 DROPPED = set("head nav footer aside form button select dialog menu svg canvas object audio video".split()) | RAW
 CONTAINERS = ("article", "main")
+#: Without these, elements with such names count as one if they hold most of the text.
+CONTENT = "content"
+CONTENT_NAMES = set("content article post entry story maincontent articlebody postcontent".split())
 ROLES = set(
     "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split()
 )
@@ -57,24 +60,27 @@ MARK_STARTS = tuple(
 )
 
 
-def _marks(attributes: str) -> tuple[bool, bool, bool]:
-    """Whether the attributes mark an element as no article text, as a header, as a comment."""
+def _marks(attributes: str) -> tuple[bool, bool, bool, str]:
+    """Whether the attributes mark an element as no article text, as a header, as a comment; and as which container."""
     if not attributes or attributes.isspace():
-        return False, False, False
+        return False, False, False, ""
     names: list[str] = []
-    marked = False
+    marked, kind = False, ""
     for name, a, b, c, alone in ATTRIBUTE.findall(attributes):
         key, value = (name or alone).lower(), a or b or c
         if key in ("class", "id"):
             names += [part.lower() for part in NAME_PARTS.findall(value)]
         elif key == "role":
             marked |= value.strip().lower() in ROLES
+            kind = value.strip().lower() if value.strip().lower() in CONTAINERS else kind
         elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
             marked = True
         elif key == "style":
             marked |= "display:none" in value.replace(" ", "").lower()
     marked |= any(n in MARKS or n.startswith(MARK_STARTS) for n in names)
-    return marked, "header" in names, any(n.startswith("comment") for n in names)
+    if not kind and not CONTENT_NAMES.isdisjoint(names):
+        kind = CONTENT
+    return marked, "header" in names, any(n.startswith("comment") for n in names), kind
 
 
 def _tags(page: str) -> list[tuple[int, int, bool, str, str]]:
@@ -127,7 +133,9 @@ class _Drops:
 
     def __init__(self, tags: list[tuple[int, int, bool, str, str]]):
         opening = [(i, name, attributes) for i, (_, _, closing, name, attributes) in enumerate(tags) if name and not closing]
-        self.articles = [i for i, name, attributes in opening if name in CONTAINERS and not _marks(attributes)[2]]
+        self.articles = [
+            i for i, name, attributes in opening if (name in CONTAINERS or _marks(attributes)[3] in CONTAINERS) and not _marks(attributes)[2]
+        ]
         self.starts = [i for i, name, _ in opening if name in CONTAINERS or name in ("body", "section", "h1")]
 
     def until(self, i: int, name: str, end: int, closed: bool) -> int | None:
@@ -155,12 +163,14 @@ def _lines(page: str) -> list[tuple[str, int, str]]:
     parts: list[str] = []
     linked = 0
     inside: list[tuple[str, int]] = []  # open containers and where they end
+    order = (*CONTAINERS, CONTENT)
     link_end = -1
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(markup.unescape("".join(parts)).split())
-        lines.append((text, max(0, len(text) - linked) if text else 0, inside[0][0] if inside else ""))
+        where = min((c for c, _ in inside), key=order.index, default="")
+        lines.append((text, max(0, len(text) - linked) if text else 0, where))
         parts.clear()
         linked = 0
 
@@ -180,8 +190,9 @@ def _lines(page: str) -> list[tuple[str, int, str]]:
             inside.pop()
         if name and not closing:
             end, closed = ends.get(i, (i, True))
-            marked, header, comment = _marks(attributes)
-            fixed = name in ("html", "body") or (name in CONTAINERS and not comment)
+            marked, header, comment, kind = _marks(attributes)
+            kind = name if name in CONTAINERS else kind
+            fixed = name in ("html", "body") or (kind in CONTAINERS and not comment)
             if name in DROPPED or ((marked or (not inside and (header or name == "header"))) and not fixed):
                 resume = drops.until(i, name, end, closed)
                 if resume is not None and resume > i:
@@ -189,9 +200,9 @@ def _lines(page: str) -> list[tuple[str, int, str]]:
                     lines.extend([("", 0, "")] * WINDOW)
                     at, i = (tags[resume][0] if resume < len(tags) else len(page)), resume
                     continue
-            if name in CONTAINERS:
+            if kind and name in BLOCKS and name not in ("html", "body"):
                 flush()
-                inside.append((name, end))
+                inside.append((kind, end))
             if name == "a":
                 link_end = end if closed else i + 1
         if name in BLOCKS:
@@ -209,7 +220,10 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     lines = _lines(page)
-    marked = next((c for c in CONTAINERS if any(n for _, n, where in lines if where == c)), None)
+    held = {c: sum(n for _, n, where in lines if where == c) for c in (*CONTAINERS, CONTENT)}
+    marked = next((c for c in CONTAINERS if held[c]), None)
+    if marked is None and 2 * held[CONTENT] >= sum(n for _, n, _ in lines) > 0:
+        marked = CONTENT
     weights = [n if marked is None or where == marked else 0 for _, n, where in lines]
     sums = [0] * (len(lines) + 1)
     for i, n in enumerate(weights):

@@ -32,6 +32,9 @@ CASES = [
     ("<ARTICLE><P>Upper</P></ARTICLE><DIV ROLE='navigation'>menu</DIV>", "Upper"),
     ("<article><p>a</p><p hidden>b</p><p style='display: none'>c</p><p>d</p></article>", "a\nd"),
     ("<article>cut &am", "cut &am"),
+    ("<div class='post-content'><p>Long enough to be most of the page.</p><div class=ad>Buy</div><p>Be.</p></div><div>(c) us</div>", "Long enough to be most of the page.\nBe."),
+    ("<div class=entry>a</div><div>" + "The text stands elsewhere on this page. " * 3 + "</div>", "a\n" + ("The text stands elsewhere on this page. " * 3).strip()),
+    ("<div role=main><header><h1>T</h1></header>x</div><div>other</div>", "T\nx"),
 ]
 
 

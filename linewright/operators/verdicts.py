@@ -131,23 +131,20 @@ def resolve_ids(verdicts: DataFrame, catalog: DataFrame) -> DataFrame:
     wanted = verdicts.select("product_id").filter("product_id is not null and product_id != ''").distinct()
     ids = catalog.filter("is_active").select(F.col("product_id").alias("id")).distinct()
     exact = wanted.join(ids, F.col("product_id") == F.col("id")).select("product_id", F.lit(1).alias("step"), "id")
-    lengths = wanted.select(F.length("product_id").alias("n")).distinct()
     open_ids = wanted.join(exact, "product_id", "left_anti")
-    lengths = open_ids.agg(F.coalesce(F.collect_set(F.length("product_id")), F.array().cast("array<int>")).alias("n"))
-    lengths = lengths.first().n  # distinct lengths of short strings
-    if lengths:
-        sized = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]), lambda n: n < F.length("id"))
-        endings = ids.select(
-            "id", F.explode(F.transform(sized, lambda n: F.right(F.col("id"), n))).alias("product_id")
-        )
-        suffix = open_ids.join(endings, "product_id").select("product_id", F.lit(2).alias("step"), "id")
-        exact = exact.union(suffix)
+    # one row with the distinct lengths of the open ids
+    lengths = open_ids.agg(F.collect_set(F.length("product_id")).alias("lengths"))
+    shorter = F.filter("lengths", lambda n: n < F.length("id"))
+    endings = ids.join(F.broadcast(lengths)).select(
+        "id", F.explode(F.transform(shorter, lambda n: F.right(F.col("id"), n))).alias("product_id")
+    )
+    suffix = open_ids.join(endings, "product_id").select("product_id", F.lit(2).alias("step"), "id")
     prefixed = (
         open_ids.filter(~F.startswith("product_id", F.lit("prd_")))
         .join(ids, F.concat(F.lit("prd_"), "product_id") == F.col("id"))
         .select("product_id", F.lit(3).alias("step"), "id")
     )
-    best = exact.union(prefixed).groupBy("product_id").agg(F.min(F.struct("step", "id")).alias("b"))
+    best = exact.union(suffix).union(prefixed).groupBy("product_id").agg(F.min(F.struct("step", "id")).alias("b"))
     return verdicts.join(best.select("product_id", F.col("b.id").alias("resolved_id")), "product_id", "left")
 
 

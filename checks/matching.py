@@ -707,3 +707,15 @@ def i3_sizes(spark, sf):
     options = MatchOptions(retrieval_top_n=3, list_cap=7, name_threshold=0.5, document_threshold=0.4, relaxed_top_n=0)
     found = R.hybrid_search(_queries(spark, sf), catalog(spark, sf), options=options)
     return found.select("query_id", "product_id", "lexical_score", F.col("retrieval_rank").cast("bigint").alias("retrieval_rank"))
+
+
+@query("A13_candidate_rows", with_sql(CATALOG, QUERIES_SQL, *LEX, MATCH, body="""
+SELECT q || '|' || cat AS line_id, product_id, CAST(place AS INTEGER) AS retrieval_rank, round(score, 6) AS final_score FROM (
+  SELECT *, row_number() OVER (PARTITION BY q, cat ORDER BY round(score, 9) DESC, rk) AS place FROM result) WHERE place <= 5"""))
+def a13_candidates(spark, sf):
+    lines = table(spark, sf, "part").select(
+        F.concat_ws(" ", F.upper("p_name"), text("p_size")).alias("raw_text"), F.col("p_type").alias("category_hint"),
+        F.concat(F.concat_ws(" ", "p_name", text("p_size")), F.lit("|"), "p_type").alias("line_id"),
+    ).distinct()
+    rows = B.rank_candidates(B.batch_match(lines, B.MatchInputs(catalog(spark, sf)), MATCH_OPTIONS))
+    return rows.select("line_id", "product_id", "retrieval_rank", F.round("final_score", 6).alias("final_score"))

@@ -53,9 +53,13 @@ ROLES = set(
     "navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split()
 )
 #: Parts of class names and ids that mark such elements, whole or as a beginning.
-MARKS = set("ad ads adv nav navbar navigation menu toolbar alert login share shares sharing respond reply replies footer".split())
+MARKS = set(
+    "ad ads adv nav navbar navigation menu menus submenu dropdown topbar toolbar alert alerts login share shares sharing respond "
+    "reply replies footer form forms search searchbox colophon".split()
+)
 MARK_STARTS = tuple(
-    "advert adsense adslot adbox banner breadcrumb comment consent cookie copyright disqus masthead modal newsletter notice "
+    "advert adsense adslot adbox announcement banner breadcrumb comment consent cookie copyright disclaimer disqus gdpr masthead "
+    "modal newsletter notice offcanvas overlay "
     "pagination pager popup promo recommend related sidebar signup social sponsor subscri widget".split()
 )
 

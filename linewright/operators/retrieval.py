@@ -538,7 +538,7 @@ def hybrid_search(
     whatever the size of the catalog; queries that found nothing get a relaxed
     search. Without a ready ``index`` one is built for the run.
     """
-    index = index or build_index(catalog, options.list_cap, lexemes)
+    index = index or build_index(catalog, max(options.list_cap, options.relaxed_list_cap), lexemes)
     with_vectors = embeddings is not None and "vector" in queries.columns
     hinted = "article_hint" in queries.columns
 

@@ -25,7 +25,7 @@ def match_stream(
     if seen_at is not None:
         lines = lines.withWatermark(seen_at, late).dropDuplicatesWithinWatermark(["request_item_id"])
     if inputs.index is None:
-        built = retrieval.build_index(inputs.catalog, options.list_cap, inputs.lexemes)
+        built = retrieval.build_index(inputs.catalog, max(options.list_cap, options.relaxed_list_cap), inputs.lexemes)
         inputs = MatchInputs(**{**inputs.__dict__, "index": built})
 
     def match(batch: DataFrame, batch_id: int) -> None:

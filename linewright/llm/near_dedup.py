@@ -1,4 +1,8 @@
-"""SimHash near-duplicates, found with deletion-variant signatures.
+"""Near-duplicates: by shingle similarity, and by SimHash with deletion-variant signatures.
+
+``groups`` and ``one_per_group`` link texts whose sets of five-word shingles
+have a Jaccard similarity of 0.8 or more (``shingle_pairs``). ``simhash_groups``
+is the digest contract of ``op3_near_dedup``, as follows.
 
 Fingerprints of 64 bits that differ in at most 3 bits are linked. Cut in two
 halves, one half of such a pair differs in at most one bit. So each half is
@@ -13,7 +17,7 @@ to pieces of 8 bits, so that the pairs of a bucket stay bounded.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -26,11 +30,15 @@ from pyspark.sql.types import LongType
 from linewright.llm.batches import in_small_batches
 from linewright.llm.columns import unused
 from linewright.llm.components import connected_components
+from linewright.llm.shingle_pairs import marks_of, similar_links
 from linewright.session import materialize
 
 SEED = 42
 SHINGLE_WORDS = 3
 MAX_BITS = 3
+#: Near-duplicates by similarity.
+WORDS = 5
+SIMILARITY = 0.8
 #: A key that more fingerprints share is cut further.
 BUCKET = 128
 
@@ -116,21 +124,22 @@ def linked_pairs(distinct: DataFrame) -> DataFrame:
     return _close_pairs(rows, rows, 64)
 
 
-def _group_heads(prints: DataFrame, head: Column) -> DataFrame:
-    """``(fp, head)`` for the distinct fingerprints: the least ``head`` of all rows in the group.
+def _group_heads(prints: DataFrame, head: Column, node: str, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``(node, head)`` for the distinct nodes: the least ``head`` of all rows in the group.
 
-    Equal fingerprints are one node, so copies cost nothing beyond a sum.
+    Equal ones are one node, so copies cost nothing beyond a sum. ``link`` gives
+    the links ``(a, b)`` among the distinct nodes.
     """
-    nodes = materialize(prints.groupBy("fp").agg(F.min(head).alias("head")), "distinct-fingerprints")
-    joined = connected_components(linked_pairs(nodes), "a", "b")
-    named = nodes.join(joined, nodes.fp == joined.node, "left")
-    named = materialize(named.select("fp", "head", F.coalesce("component", "fp").alias("component")), "named-fingerprints")
+    nodes = materialize(prints.groupBy(node).agg(F.min(head).alias("head")), "distinct-nodes")
+    joined = connected_components(link(nodes), "a", "b").withColumnRenamed("node", "linked")
+    named = nodes.join(joined, nodes[node] == joined.linked, "left")
+    named = materialize(named.select(node, "head", F.coalesce("component", node).alias("component")), "named-nodes")
     heads = named.groupBy("component").agg(F.min("head").alias("head"))
-    return named.select("fp", "component").join(heads, "component").select("fp", "head")
+    return named.select(node, "component").join(heads, "component").select(node, "head")
 
 
-def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, fp, component_id)``, one row per document.
+def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, fp, component_id)``, one row per document, linked at up to 3 bits.
 
     The component id is the smallest id in the group. A null text is an empty
     one; a document with a null id is in its group but does not name it, and a
@@ -139,25 +148,35 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     """
     prints = in_small_batches(docs).select(F.col(doc_id).alias("doc_id"), fingerprints(F.col(text)).alias("fp"))
     prints = materialize(prints, "fingerprints")
-    ids = _group_heads(prints, F.col("doc_id")).withColumnRenamed("head", "component_id")
+    ids = _group_heads(prints, F.col("doc_id"), "fp", linked_pairs).withColumnRenamed("head", "component_id")
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """``(doc_id, component_id)``, one row per document, linked by shingle similarity; else as ``simhash_groups``."""
+    rows = in_small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), marks_of(words)(F.col(text)).alias("mark"))
+    rows = rows.select("doc_id", "text", "mark.*", F.monotonically_increasing_id().alias("at"))
+    rows = materialize(rows, "marked-rows")  # the numbers hold from here on
+    ids = _group_heads(rows, F.col("doc_id"), "digest", lambda _: similar_links(rows, words, similarity))
+    return rows.join(ids.withColumnRenamed("head", "component_id"), "digest").select("doc_id", "component_id")
+
+
+def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` without near-duplicates, all columns as they were.
 
     Of each group one row with the smallest id stays, or one without an id
     where the group has none.
     """
-    fp, at = unused(docs, "fp", "at")
-    rows = in_small_batches(docs).withColumns({fp: fingerprints(F.col(text)), at: F.monotonically_increasing_id()})
-    rows = materialize(rows, "fingerprinted-rows")  # the numbers hold from here on
-    ids = rows.select(F.col(doc_id).alias("id"), F.col(at).alias("at"), F.col(fp).alias("fp"))
-    heads = _group_heads(ids, F.struct(F.col("id").isNull().alias("unnamed"), "id", "at"))
+    mark, at = unused(docs, "mark", "at")
+    rows = in_small_batches(docs).withColumns({mark: marks_of(words)(F.col(text)), at: F.monotonically_increasing_id()})
+    rows = materialize(rows, "marked-rows")  # the numbers hold from here on
+    sets = rows.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(at).alias("at"), F.col(mark)["digest"].alias("digest"), F.col(mark)["size"].alias("size"), F.col(mark)["bits"].alias("bits"))
+    least = F.struct(F.col("id").isNull().alias("unnamed"), "id", "at")
+    heads = _group_heads(sets, least, "digest", lambda _: similar_links(sets, words, similarity))
     stay = heads.select(F.col("head.at").alias(at)).distinct()
     return rows.join(stay, at, "left_semi").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

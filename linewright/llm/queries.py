@@ -2,6 +2,7 @@
 
 from linewright.llm import (
     chat_format,
+    exact_dedup,
     html_text,
     language_id,
     near_dedup,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_quality_model": quality_model.query,
     "op9_source_mix": source_mix.query,
     "op10_language_id": language_id.query,
+    "op12_exact_dedup": exact_dedup.query,
 }
 
 ORACLES = {
@@ -32,4 +34,5 @@ ORACLES = {
     "op6_top_k": top_k.SQL,
     "op7_chat_format": chat_format.SQL,
     "op9_source_mix": source_mix.SQL,
+    "op12_exact_dedup": exact_dedup.SQL,
 }

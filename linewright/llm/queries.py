@@ -3,6 +3,7 @@
 from linewright.llm import (
     chat_format,
     exact_dedup,
+    hard_negatives,
     html_text,
     language_id,
     near_dedup,
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_source_mix": source_mix.query,
     "op10_language_id": language_id.query,
     "op12_exact_dedup": exact_dedup.query,
+    "op13_hard_negatives": hard_negatives.query,
 }
 
 ORACLES = {
@@ -35,4 +37,5 @@ ORACLES = {
     "op7_chat_format": chat_format.SQL,
     "op9_source_mix": source_mix.SQL,
     "op12_exact_dedup": exact_dedup.SQL,
+    "op13_hard_negatives": hard_negatives.SQL,
 }

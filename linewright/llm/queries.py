@@ -13,6 +13,7 @@ from linewright.llm import (
     source_mix,
     top_k,
     url_filter,
+    whitening,
 )
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_quality_model": quality_model.query,
     "op9_source_mix": source_mix.query,
     "op10_language_id": language_id.query,
+    "op11_whitening": whitening.query,
     "op12_exact_dedup": exact_dedup.query,
     "op13_hard_negatives": hard_negatives.query,
 }

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linewright.llm.top_k import _kind, _products, whole_numbers
-from linewright.session import materialize
+from linewright.session import materialize, spread
 
 #: Reference directions, chosen from as many rows, those first in hash order.
 DIRECTIONS, SAMPLE = 16, 2_048
@@ -66,14 +66,19 @@ def angles_to(rows: np.ndarray, references: np.ndarray) -> np.ndarray:
 
 
 def score_bounds(angles: np.ndarray, norm: float, o_angles: np.ndarray, o_norms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whole numbers that no inner product of one vector with each of the others is below or above."""
-    apart = np.abs(o_angles - angles).max(axis=1) - SLACK
+    """Whole numbers that no inner product of one vector with each of the others is below or above.
+
+    The others' angles have a row per direction and a column per vector.
+    """
+    angles = angles[:, None]
+    apart = np.abs(o_angles - angles).max(axis=0).astype(np.float64) - SLACK
     together = o_angles + angles
-    together = np.minimum(together, 2 * np.pi - together).min(axis=1) + SLACK
+    # the sum and what it lacks to a full turn, whichever is less, is largest at a half turn
+    together = np.pi - np.abs(together - np.float32(np.pi)).max(axis=0).astype(np.float64) + SLACK
     reach = norm * o_norms
     pad = 1e-9 * reach + 1e-9
-    lowest = np.ceil(reach * np.cos(np.minimum(together, np.pi).astype(np.float64)) - pad)
-    highest = np.floor(reach * np.cos(np.maximum(apart, 0).astype(np.float64)) + pad)
+    lowest = np.ceil(reach * np.cos(np.minimum(together, np.pi)) - pad)
+    highest = np.floor(reach * np.cos(np.maximum(apart, 0)) + pad)
     return lowest, highest
 
 
@@ -128,8 +133,8 @@ def _packed(rows: DataFrame, size: int, extra: str = "") -> DataFrame:
     return placed.mapInPandas(pack, PACKED + (", " + extra if extra else ""))
 
 
-def _meet(blocks: DataFrame, sections: DataFrame, at: Column, look: Callable, schema: str) -> DataFrame:
-    """What ``look`` finds for each block of anchors in each section that it has to see.
+def _meet(blocks: DataFrame, sections: DataFrame, at: Column, look: Callable, names: list[str]) -> DataFrame:
+    """What ``look`` finds, as columns of longs, for each block of anchors in each section that it has to see.
 
     Sections stay where the shuffle puts them, in at most as many groups as there
     are shuffle partitions; a block goes once to each group.
@@ -143,10 +148,13 @@ def _meet(blocks: DataFrame, sections: DataFrame, at: Column, look: Callable, sc
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for a, b in zip(batch["a"], batch["b"]):
-                yield from look(a, b)
+                found = [np.broadcast_arrays(*f) for f in look(a, b)]
+                if found:
+                    yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*found)))))
 
     # neither side is small by any bound that holds for all inputs
-    return left.join(right.hint("merge"), "grid").where(at).select("a", "b").mapInPandas(each, schema)
+    left, right = spread(left, "grid"), spread(right, "grid").hint("merge")
+    return left.join(right, "grid").where(at).select("a", "b").mapInPandas(each, ", ".join(f"{n} long" for n in names))
 
 
 class _Side:
@@ -158,7 +166,7 @@ class _Side:
         n = len(self.ids)
         raw = np.frombuffer(row["vecs"], f"<i{len(row['vecs']) // (n * width)}").reshape(n, width)
         self.vectors = raw.astype(np.float64) if np.abs(raw.astype(np.float64)).max(initial=0) ** 2 * width < 2**53 else raw
-        self.angles = np.frombuffer(row["angles"], "<f4").reshape(n, -1)
+        self.angles = np.ascontiguousarray(np.frombuffer(row["angles"], "<f4").reshape(n, -1).T)
         self.norms = np.linalg.norm(raw.astype(np.float64), axis=1)
 
 
@@ -179,12 +187,12 @@ def _first(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def _positives(width: int, k: int) -> Callable:
-    def look(a, b) -> Iterator[pd.DataFrame]:
+    def look(a, b) -> Iterator[tuple]:
         anchors, rows = _Side(a, width), _Side(b, width)
         for i, label in enumerate(anchors.labels):
             own = slice(*np.searchsorted(rows.labels, [label, label + 1]))
             ids = rows.ids[own]
-            lowest, highest = score_bounds(anchors.angles[i], anchors.norms[i], rows.angles[own], rows.norms[own])
+            lowest, highest = score_bounds(anchors.angles[:, i], anchors.norms[i], rows.angles[:, own], rows.norms[own])
             other = ids != anchors.ids[i]
             sure = lowest[other]
             if not len(sure):
@@ -193,49 +201,39 @@ def _positives(width: int, k: int) -> Callable:
             open_ = np.flatnonzero(other & (highest >= least))
             scores = _scores(anchors.vectors[i], rows.vectors[own][open_])
             best = _first(scores, ids[open_], k)
-            yield pd.DataFrame({"anchor_id": anchors.ids[i], "positive_id": ids[open_][best], "positive_score": scores[best]})
+            yield anchors.ids[i], ids[open_][best], scores[best]
 
     return look
 
 
 def _negatives(width: int, k: int, least: int, most: int) -> Callable:
-    def look(a, b) -> Iterator[pd.DataFrame]:
+    def look(a, b) -> Iterator[tuple]:
         anchors, rows = _Side(a, width), _Side(b, width)
         slots = np.frombuffer(a["positives"], "<i8").reshape(len(anchors.ids), -1, 3)
         for i, label in enumerate(anchors.labels):
-            lowest, highest = score_bounds(anchors.angles[i], anchors.norms[i], rows.angles, rows.norms)
+            windows = [(place, positive, score, -(-least * score // 100), most * score // 100) for place, positive, score in slots[i].tolist() if place]
+            windows = [w for w in windows if w[3] <= w[4]]
+            if not windows:
+                continue
+            lowest, highest = score_bounds(anchors.angles[:, i], anchors.norms[i], rows.angles, rows.norms)
             differs = rows.labels != label
-            windows = []
-            for place, positive, score in slots[i].tolist():
-                low, high = -(-least * score // 100), most * score // 100
-                if not place or low > high:
-                    continue
-                open_ = differs & (highest >= low) & (lowest <= high)
+            some = np.flatnonzero(differs & (highest >= min(w[3] for w in windows)) & (lowest <= max(w[4] for w in windows)))
+            lowest, highest = lowest[some], highest[some]
+            open_ = np.zeros(len(some), bool)
+            for _, _, _, low, high in windows:
+                own = (highest >= low) & (lowest <= high)
                 # those surely within the window bound the last place
-                sure = lowest[open_ & (lowest >= low) & (highest <= high)]
+                sure = lowest[(lowest >= low) & (highest <= high)]
                 if len(sure) > k:
-                    open_ &= highest >= np.partition(sure, len(sure) - k)[len(sure) - k]
-                windows.append((place, positive, score, low, high, open_))
-            if not windows:
-                continue
-            open_ = np.flatnonzero(np.logical_or.reduce([w[-1] for w in windows]))
-            if not len(open_):
-                continue
-            scores, ids = _scores(anchors.vectors[i], rows.vectors[open_]), rows.ids[open_]
-            for place, positive, score, low, high, _ in windows:
+                    own &= highest >= np.partition(sure, len(sure) - k)[len(sure) - k]
+                open_ |= own
+            some = some[open_]
+            scores, ids = _scores(anchors.vectors[i], rows.vectors[some]), rows.ids[some]
+            for place, positive, score, low, high in windows:
                 inside = np.flatnonzero((scores >= low) & (scores <= high))
                 best = inside[_first(scores[inside], ids[inside], k)]
                 if len(best):
-                    yield pd.DataFrame(
-                        {
-                            "anchor_id": anchors.ids[i],
-                            "place": place,
-                            "positive_id": positive,
-                            "positive_score": score,
-                            "negative_id": ids[best],
-                            "negative_score": scores[best],
-                        }
-                    )
+                    yield anchors.ids[i], place, positive, score, ids[best], scores[best]
 
     return look
 
@@ -256,7 +254,7 @@ def _mined(items: DataFrame, is_anchor: Column, width: int, top: float, positive
     anchors = materialize(_measured(asked, references, _kind(top)), "anchors")
 
     near = (F.col("a.low") <= F.col("b.high")) & (F.col("a.high") >= F.col("b.low"))
-    found = _meet(_packed(anchors, BLOCK), sections, near, _positives(width, positives), "anchor_id long, positive_id long, positive_score long")
+    found = _meet(_packed(anchors, BLOCK), sections, near, _positives(width, positives), ["anchor_id", "positive_id", "positive_score"])
     found = _ranked(found, ["anchor_id"], "positive_score", "positive_id", "place", positives)
     slot = F.sort_array(F.collect_list(F.struct("place", "positive_id", "positive_score")))
     slots = found.groupBy("anchor_id").agg(slot.alias("slots"))
@@ -269,8 +267,8 @@ def _mined(items: DataFrame, is_anchor: Column, width: int, top: float, positive
     asking = anchors.join(slots.select(F.col("anchor_id").alias("vec_id"), as_bytes("slots").alias("positives")), "vec_id")
     asking = materialize(asking, "anchors-with-positives")
     other = (F.col("a.low") != F.col("a.high")) | (F.col("b.low") != F.col("b.high")) | (F.col("a.low") != F.col("b.low"))
-    schema = "anchor_id long, place long, positive_id long, positive_score long, negative_id long, negative_score long"
-    found = _meet(_packed(asking, BLOCK, "positives binary"), sections, other, _negatives(width, negatives, least, most), schema)
+    names = ["anchor_id", "place", "positive_id", "positive_score", "negative_id", "negative_score"]
+    found = _meet(_packed(asking, BLOCK, "positives binary"), sections, other, _negatives(width, negatives, least, most), names)
     return _ranked(found, ["anchor_id", "place"], "negative_score", "negative_id", "rank", negatives)
 
 

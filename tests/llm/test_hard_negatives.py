@@ -64,7 +64,7 @@ def test_bounds_hold_and_leave_rows_out():
     angles, norms = H.angles_to(rows, references), np.linalg.norm(rows.astype(float), axis=1)
     left = 0
     for i in range(0, 3000, 100):
-        low, high = H.score_bounds(angles[i], norms[i], angles, norms)
+        low, high = H.score_bounds(angles[i], norms[i], angles.T, norms)
         scores = rows @ rows[i]
         assert (low <= scores).all() and (scores <= high).all()
         left += (high < 0.5 * norms[i] * norms).sum()

@@ -30,7 +30,7 @@ from pyspark.sql.types import LongType
 from linewright.llm.batches import in_small_batches
 from linewright.llm.columns import unused
 from linewright.llm.components import connected_components
-from linewright.llm.shingle_pairs import marks_of, similar_links
+from linewright.llm.shingle_pairs import map_of, marks_of, similar_links, split_by
 from linewright.session import materialize
 
 SEED = 42
@@ -174,7 +174,10 @@ def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     least = F.struct(F.col("id").isNull().alias("unnamed"), "id", "at")
     heads = _group_heads(sets, least, "digest", lambda _: similar_links(sets, words, similarity))
     stay = heads.select(F.col("head.at").alias(at)).distinct()
-    return rows.join(stay, at, "left_semi").select(*docs.columns)
+    gone = materialize(rows.select(at).join(stay, at, "left_anti"), "copies")
+    # only texts that a map of the copies names have to move, to be told from them for certain
+    named, others = split_by(rows, map_of(gone, at), at)
+    return others.select(*docs.columns).union(named.join(gone, at, "left_anti").select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

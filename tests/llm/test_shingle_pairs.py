@@ -69,3 +69,26 @@ def test_simhash_groups_keep_to_the_digest(spark):
     rows = [(7, base), (3, base), (9, base.replace("word200", "other")), (4, "something else entirely"), (5, None), (6, ""), (None, base)]
     found = {r["doc_id"]: r["component_id"] for r in near_dedup.simhash_groups(spark.createDataFrame(rows, DOCS)).collect()}
     assert found == {7: 3, 3: 3, 9: 3, 4: 4, 5: 5, 6: 5, None: 3}
+
+
+def test_a_template_that_the_sample_misses_is_not_crowded(spark, monkeypatch):
+    """1,500 texts share 24 of 44 words; their heads are made anew with the shared shingles last, and no pair is left."""
+    monkeypatch.setattr(shingle_pairs, "COMMON_LEAST", 10**9)
+    template = " ".join(f"t{i}" for i in range(24))
+    rows = [(i, f"{template} " + " ".join(f"w{i}x{j}" for j in range(20))) for i in range(1_500)]
+    rows.append((5_000, rows[7][1].replace("w7x19", "other")))
+    table = spark.createDataFrame(rows, DOCS).select("doc_id", "text", shingle_pairs.marks_of(5)("text").alias("mark"))
+    marked = table.selectExpr("doc_id AS at", "text", "mark.digest", "mark.size", "mark.bits")
+    shared, crowded = shingle_pairs._shared_heads(marked, 5, 0.8, 1_501)
+    assert crowded.count() == 0 and shared.count() < 50
+    links = shingle_pairs.similar_links(marked, 5, 0.8).collect()
+    digests = {r["at"]: r["digest"] for r in marked.where("at in (7, 5000)").collect()}
+    assert [{r["a"], r["b"]} for r in links] == [set(digests.values())]
+
+
+def test_what_is_not_on_the_map_is_not_among_the_values(spark, monkeypatch):
+    monkeypatch.setattr(shingle_pairs, "MARKED_LONGS", 2)
+    values = spark.range(0, 600, 7)
+    named, others = shingle_pairs.split_by(spark.range(600).selectExpr("id", "'x' AS bits"), shingle_pairs.map_of(values, "id"), "id")
+    assert {r["id"] for r in values.collect()} <= {r["id"] for r in named.collect()}
+    assert named.count() + others.count() == 600 and others.count() > 100

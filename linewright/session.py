@@ -70,10 +70,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete the files of tables that ``materialize`` gave, once nothing that is still to run reads them."""
+    """Delete the files of tables that ``materialize`` gave, once nothing that is still to run reads them.
+
+    Spark drops the shuffle files of finished jobs when the driver's JVM collects
+    its garbage, which may be long after; it is asked to do so here.
+    """
     for df in tables:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

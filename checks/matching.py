@@ -10,9 +10,11 @@ from linewright.functions import scoring as SC
 from linewright.operators import mappings as M
 from linewright.operators import rerank as RR
 from linewright.operators import retrieval as R
+from linewright.operators import segments
 from linewright.operators import verdicts as VD
 from linewright.options import MatchOptions
 from linewright.plans import batch_match as B
+from linewright.plans import ingest
 
 
 def grams(expr: str) -> str:
@@ -99,6 +101,20 @@ def d4(spark, sf):
     return R.lexical_matches(_queries(spark, sf), R.build_index(catalog(spark, sf)))
 
 
+@query("C7_refreshed_index", with_sql(CATALOG, QUERIES_SQL, *LEX, body="SELECT q AS query_id, product_id, lex AS lex_score, lr AS lex_rank FROM lexical"))
+def c7_refreshed(spark, sf):
+    """Half of the products, some with texts of their own and some that go, refreshed to the catalog and searched."""
+    now = catalog(spark, sf)
+    turn = F.pmod(F.xxhash64("product_id"), F.lit(20))
+    before = now.where(turn < 10).withColumn("search_document", F.when(turn == 3, F.concat("name", F.lit(" as it was"))).otherwise(F.col("search_document")))
+    gone = now.where(turn == 0).withColumn("product_id", F.concat(F.lit("gone-"), "product_id"))
+    index = segments.refresh(segments.open_segments(spark, segments.new_folder(spark)), before.unionByName(gone))
+    versions = spark.createDataFrame([], "index_version_id string, is_active boolean")
+    version = spark.createDataFrame([("v2",)], "index_version_id string")
+    index, _ = ingest.refresh_index(index, now, versions, version, merge_share=1e9)
+    return R.lexical_matches(_queries(spark, sf), segments.catalog_index(segments.open_segments(spark, index.path)))
+
+
 @query("D5_vector_top200", """
 WITH p AS (SELECT a.vec_id AS query_id, 'P' || b.vec_id AS product_id,
   round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS sem_score

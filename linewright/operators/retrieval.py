@@ -157,12 +157,17 @@ def _terms(lexemes: Column) -> Column:
     return F.array_distinct(F.filter(lexemes, lambda w: w.isNotNull()))
 
 
-def _term_postings(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(r_id, most, term, cnt)`` and ``(term, cnt)`` of documents with ``positions``."""
+def term_rows(texts: DataFrame) -> DataFrame:
+    """``(r_id, most, term)`` of documents with ``positions``; ``most`` is how often their commonest term stands in them."""
     most = F.array_max(F.transform(F.map_values("positions"), lambda p: F.size(p)))
-    rows = texts.select(
+    return texts.select(
         F.col("class_id").alias("r_id"), most.alias("most"), F.explode(F.map_keys("positions")).alias("term")
     )
+
+
+def _term_postings(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(r_id, most, term, cnt)`` and ``(term, cnt)`` of documents with ``positions``."""
+    rows = term_rows(texts)
     frequency = rows.groupBy("term").agg(F.count("*").alias("cnt"))
     return rows.join(frequency, "term"), frequency
 

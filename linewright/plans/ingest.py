@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linewright.operators import catalog as C
+from linewright.operators import segments
 
 
 def split_import(raw: DataFrame, row: str = "row_number") -> tuple[DataFrame, DataFrame]:
@@ -48,6 +49,19 @@ def items_as_catalog(items: DataFrame) -> DataFrame:
     )
 
 
-def refresh_index(catalog: DataFrame, indexed: DataFrame, versions: DataFrame, version: DataFrame):
-    """Products whose words must be indexed again, and the versions with the new one active."""
-    return C.changed_documents(catalog, indexed), C.new_index_version(versions, version)
+def refresh_index(
+    index: segments.Segments,
+    catalog: DataFrame,
+    versions: DataFrame,
+    version: DataFrame,
+    lexemes: DataFrame | None = None,
+    merge_share: float = 0.25,
+) -> tuple[segments.Segments, DataFrame]:
+    """The index with what changed in one more segment, and the versions with the new one active.
+
+    Segments are merged when those after the first hold more than ``merge_share`` of it.
+    """
+    index = segments.refresh(index, catalog, lexemes)
+    if segments.share_of_deltas(index) > merge_share:
+        index = segments.merge(index)
+    return index, C.new_index_version(versions, version)

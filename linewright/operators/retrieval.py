@@ -68,15 +68,25 @@ def _prefix(ordered: DataFrame, threshold: float) -> DataFrame:
 
 
 def _salted_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """Equality join on ``key`` whose hot keys are cut into parts.
+    """Equality join on ``key`` whose hot keys are cut into a grid of parts.
 
     ``cnt`` is the number of ``right`` rows of the key and is known on both
-    sides: ``right`` rows scatter over the parts, ``left`` rows visit all.
+    sides; how many ``left`` rows have it is counted here, for keys that are hot
+    there. Rows of one side scatter over its parts and visit all parts of the
+    other, so a task meets about ``HOT_ROWS`` rows of either side, whatever
+    share of all queries and products holds the key.
     """
-    parts = F.greatest(F.ceil(F.col("cnt") / HOT_ROWS), F.lit(1)).cast("int")
-    l = left.filter("cnt > 0").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    r = right.withColumn("part", F.pmod(F.xxhash64("r_id"), parts).cast("int"))
-    return spread(l.drop("cnt"), key, "part").join(r.drop("cnt"), [key, "part"])
+    left = left.filter("cnt > 0")
+    hot = left.groupBy(key).agg(F.count("*").alias("l_cnt")).filter(F.col("l_cnt") > HOT_ROWS)
+    hot = hot.select(key, F.ceil(F.col("l_cnt") / HOT_ROWS).cast("int").alias("l_parts"))
+    l_parts = F.coalesce("l_parts", F.lit(1))
+    r_parts = F.greatest(F.ceil(F.col("cnt") / HOT_ROWS), F.lit(1)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), parts - 1))
+    l = left.join(hot, key, "left").withColumn("r_part", every(r_parts))
+    l = l.withColumn("l_part", F.pmod(F.xxhash64("l_id"), l_parts).cast("int"))
+    r = right.join(hot, key, "left").withColumn("l_part", every(l_parts))
+    r = r.withColumn("r_part", F.pmod(F.xxhash64("r_id"), r_parts).cast("int"))
+    return spread(l.drop("cnt", "l_parts"), key, "l_part", "r_part").join(r.drop("cnt", "l_parts"), [key, "l_part", "r_part"])
 
 
 def _gram_candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
@@ -220,7 +230,8 @@ def _term_candidates(ordered: DataFrame, postings: DataFrame, floor: float | Non
 class CatalogIndex:
     """Lexical tables of a catalog, written once per catalog version.
 
-    Products with the same name and document form one class, worked on as one.
+    Products with the same name and document form one class, worked on as one;
+    names with the same grams are compared once for all classes that have them.
     Equal texts score equally and rank by product id, so only the first ``cap``
     products of a class can enter a list and only those are members.
     """
@@ -228,8 +239,9 @@ class CatalogIndex:
     cap: int
     classes: DataFrame  # class_id, members, positions, name_grams, document_grams
     members: DataFrame  # class_id, product_id
-    name_grams: DataFrame  # id, grams
-    document_grams: DataFrame
+    names: DataFrame  # name_id, class_id: classes whose names have the same grams
+    name_grams: DataFrame  # id, grams; the id is a name_id
+    document_grams: DataFrame  # id, grams; the id is a class_id
     name_frequency: DataFrame  # gram, cnt
     document_frequency: DataFrame
     postings: DataFrame  # r_id, most, term, cnt
@@ -265,16 +277,17 @@ def build_index(catalog: DataFrame, cap: int = 200, lexemes: DataFrame | None =
         "classes",
     )
 
-    def grams(column: str) -> tuple[DataFrame, DataFrame]:
-        sets = classes.select(F.col("class_id").alias("id"), F.col(column).alias("set"))
-        frequency = materialize(_gram_frequency(sets), column + "-frequency")
-        return materialize(_ordered_grams(sets, frequency), column), frequency
+    def grams(sets: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+        frequency = materialize(_gram_frequency(sets), label + "-frequency")
+        return materialize(_ordered_grams(sets, frequency), label), frequency
 
-    name_grams, name_frequency = grams("name_grams")
-    document_grams, document_frequency = grams("document_grams")
+    names = materialize(classes.groupBy("name_grams").agg(F.min("class_id").alias("name_id")), "names")
+    name_grams, name_frequency = grams(names.select(F.col("name_id").alias("id"), F.col("name_grams").alias("set")), "name-grams")
+    document_grams, document_frequency = grams(classes.select(F.col("class_id").alias("id"), F.col("document_grams").alias("set")), "document-grams")
+    named = materialize(classes.select("class_id", "name_grams").join(names, "name_grams").select("name_id", "class_id"), "class-names")
     postings, term_frequency = _term_postings(classes)
     return CatalogIndex(
-        cap, classes, members.select("class_id", "product_id"), name_grams, document_grams,
+        cap, classes, members.select("class_id", "product_id"), named, name_grams, document_grams,
         name_frequency, document_frequency, materialize(postings, "postings"),
         materialize(term_frequency, "terms"),
     )
@@ -313,12 +326,12 @@ def _scored(pairs: DataFrame, queries: DataFrame, classes: DataFrame) -> DataFra
     )
 
 
-def _close(pairs: DataFrame | None, queries: DataFrame, classes: DataFrame, grams: str, threshold: float) -> DataFrame | None:
+def _close(pairs: DataFrame | None, queries: DataFrame, grams: DataFrame, threshold: float) -> DataFrame | None:
     """The candidate pairs whose similarity by one text does reach the threshold, up to rounding."""
     if pairs is None:
         return None
     l = queries.select(F.col("query_id").alias("l_id"), "q_grams")
-    r = classes.select(F.col("class_id").alias("r_id"), F.col(grams).alias("r_grams"))
+    r = grams.select(F.col("id").alias("r_id"), F.col("grams.gram").alias("r_grams"))
     measured = spread(pairs, "l_id", "r_id").distinct().join(r, "r_id").join(l, "l_id")
     reached = S.jaccard(F.col("q_grams"), F.col("r_grams")) >= threshold - 1e-8
     return measured.filter(reached).select("l_id", "r_id")
@@ -368,14 +381,13 @@ def lexical_matches(
         name_t = name_threshold if floor is None else floor / NAME_FACTOR
         document_t = document_threshold if floor is None else floor / DOCUMENT_FACTOR
         # each list is cut by its own measure first; the full score is for what is left
-        close = lambda pairs, grams, least: _close(pairs, open_queries, index.classes, grams, least)
-        candidates = _union(
-            [
-                close(_gram_candidates(among(by_name), index.name_grams, name_t), "name_grams", name_t),
-                close(_gram_candidates(among(by_document), index.document_grams, document_t), "document_grams", document_t),
-                _term_candidates(among(by_term), index.postings, floor),
-            ]
-        )
+        close = lambda ordered, grams, least: _close(_gram_candidates(among(ordered), grams, least), open_queries, grams, least)
+        named = close(by_name, index.name_grams, name_t)
+        if named is not None:
+            classes = index.names.select(F.col("name_id").alias("r_id"), "class_id")
+            named = named.join(classes, "r_id").select("l_id", F.col("class_id").alias("r_id"))
+        documented = close(by_document, index.document_grams, document_t)
+        candidates = _union([named, documented, _term_candidates(among(by_term), index.postings, floor)])
         candidates = spread(candidates, "l_id", "r_id").distinct()
         qualifies = (
             F.col("all_terms")

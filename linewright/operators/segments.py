@@ -28,7 +28,7 @@ from linewright.session import materialize, release, scratch_path
 
 #: Tables of a segment; what readers look for is written last.
 TABLES = (
-    "classes", "members", "name_grams", "document_grams", "postings",
+    "classes", "members", "names", "name_grams", "document_grams", "postings",
     "name_frequency", "document_frequency", "term_frequency", "tombstones",
 )
 
@@ -46,8 +46,7 @@ class Segments:
 
     def frequency(self, name: str) -> DataFrame | None:
         """The counts that order grams or words, each with the one it first came with."""
-        parts = [self.table(s, f"{name}_frequency") for s in self.names]
-        return reduce(DataFrame.unionByName, parts) if parts else None
+        return _union_of(self, f"{name}_frequency") if self.names else None
 
     def live(self, name: str, key: str) -> DataFrame | None:
         """A table over all segments, without classes that a later segment replaced."""
@@ -167,8 +166,14 @@ def _write(segments: Segments, name: str, tables: tuple[DataFrame, DataFrame], d
         new = put(found if known is None else found.join(known.select(key), key, "left_anti"), f"{kind}_frequency")
         return new if known is None else known.unionByName(new)
 
-    for kind in ("name", "document"):
-        sets = classes.select(F.col("class_id").alias("id"), F.col(f"{kind}_grams").alias("set"))
+    # a name goes by its content, which is the same in every segment
+    names = classes.select("class_id", F.sha2(F.concat_ws(" ", F.array_sort("name_grams")), 256).alias("name_id"), "name_grams")
+    put(names.select("name_id", "class_id"), "names")
+    sets_of = {
+        "name": names.select(F.col("name_id").alias("id"), F.col("name_grams").alias("set")).dropDuplicates(["id"]),
+        "document": classes.select(F.col("class_id").alias("id"), F.col("document_grams").alias("set")),
+    }
+    for kind, sets in sets_of.items():
         put(R._ordered_grams(sets, ordered(kind, "gram", R._gram_frequency(sets))), f"{kind}_grams")
     rows = R.term_rows(classes)
     frequency = ordered("term", "term", rows.groupBy("term").agg(F.count("*").alias("cnt")))
@@ -192,7 +197,9 @@ def catalog_index(segments: Segments, cap: int = 200) -> R.CatalogIndex:
         cap,
         classes.drop("segment"),
         members.where(F.col("_n") <= cap).select("class_id", "product_id"),
-        segments.live("name_grams", "id").drop("segment"),
+        segments.live("names", "class_id").drop("segment"),
+        # a name that no live class has leads nowhere, and one that several segments know is listed once
+        _union_of(segments, "name_grams").dropDuplicates(["id"]),
         segments.live("document_grams", "id").drop("segment"),
         segments.frequency("name"),
         segments.frequency("document"),
@@ -201,6 +208,10 @@ def catalog_index(segments: Segments, cap: int = 200) -> R.CatalogIndex:
     )
 
 
+def _union_of(segments: Segments, name: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, [segments.table(s, name) for s in segments.names])
+
+
 def new_folder(spark: SparkSession) -> str:
     """A folder of this run for an index that need not outlive it."""
     return scratch_path(spark, "segments")

@@ -161,3 +161,25 @@ def test_running_sum_of_a_hot_key(spark):
     for k, at, v in rows:
         total[k] += v
         assert got[k, at] == total[k]
+
+
+def test_a_gram_of_all_queries_and_products_is_a_grid(spark, monkeypatch):
+    """No task meets more than about ``HOT_ROWS`` rows of either side of one key, and no pair is lost."""
+    monkeypatch.setattr(R, "HOT_ROWS", 50)
+    left = spark.range(300).select(F.col("id").alias("l_id"), F.lit("red").alias("gram"), F.lit(400).cast("long").alias("cnt"))
+    right = spark.range(400).select(F.col("id").alias("r_id"), F.lit("red").alias("gram"), F.lit(400).cast("long").alias("cnt"))
+    rare = spark.createDataFrame([(7, "axle", 1)], "l_id long, gram string, cnt long")
+    once = spark.createDataFrame([(9, "axle", 1)], "r_id long, gram string, cnt long")
+    pairs = R._salted_join(left.union(rare), right.union(once), "gram").cache()
+    assert pairs.count() == pairs.select("l_id", "r_id", "gram").distinct().count() == 300 * 400 + 1
+    cells = pairs.groupBy("gram", "l_part", "r_part").agg(F.count_distinct("l_id").alias("l"), F.count_distinct("r_id").alias("r")).collect()
+    assert len([c for c in cells if c["gram"] == "red"]) == 6 * 8
+    assert max(c["l"] for c in cells) < 100 and max(c["r"] for c in cells) < 100
+    pairs.unpersist()
+
+
+def test_names_are_compared_once_for_all_classes(spark, world):
+    index = R.build_index(world[2], 200)
+    names = index.name_grams.count()
+    assert names == index.names.select("name_id").distinct().count() < index.classes.count()
+    assert index.names.count() == index.classes.count()

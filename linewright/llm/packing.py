@@ -43,18 +43,20 @@ class Encoder:
     """Ids of whole texts as little-endian 32-bit numbers.
 
     The merges of the vocabulary file are applied by a faster library; texts
-    with characters that it might class differently go to the tokenizer itself.
+    with added tokens, or with characters that it might class differently, go to
+    the tokenizer itself.
     """
 
     def __init__(self, vocabulary: str):
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
         special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
         ranks = {_as_bytes(t): i for t, i in self.tokenizer.get_vocab().items() if t not in special}
+        # where an added token stands as text, the tokenizer takes it whole
+        self.special = re.compile("|".join(map(re.escape, sorted(special)))).search if special else lambda text: None
         self.merger = tiktoken.Encoding("corpus", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> bytes:
-        if UNSETTLED(text):
+        if UNSETTLED(text) or self.special(text):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         else:
             ids = self.merger.encode_ordinary(text)

@@ -16,9 +16,7 @@ ODD = ["", " ", "  a\n\n b", "a<|endoftext|>b", "Don't we'll\t x  ", "ü  x 12½
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(VOCABULARY)
 
 
 def ids(tokenizer, text):
@@ -34,6 +32,13 @@ def test_encoder_equals_tokenizer(tokenizer):
         assert [*np.frombuffer(encode(text), "<u4"), 0] == ids(tokenizer, text), repr(text)
 
 
+def test_added_tokens_are_as_the_tokenizer_has_them(tokenizer):
+    encode = packing.Encoder(VOCABULARY)
+    for text in ("<|endoftext|>", "a<|endoftext|>b", " <|endoftext|> x <|endoftext|><|endoftext|>", "<|endoftext", "word " * 5_000 + "<|endoftext|>"):
+        assert [*np.frombuffer(encode(text), "<u4"), 0] == ids(tokenizer, text), repr(text[-40:])
+    assert [*np.frombuffer(encode("a<|endoftext|>b"), "<u4")] == [64, 50256, 65]
+
+
 def test_best_fit_equals_piece_by_piece():
     draw = random.Random(6)
     for _ in range(30):

@@ -24,10 +24,12 @@ RULES = [
 ]
 
 _TAG = r"(?is)<(?:link|meta)\b[^>]*>"
+_BASE = r"(?is)<base\b[^>]*\bhref\s*=[^>]*>"
 _CANONICAL = r"(?is)\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b"
 _HREF = r"(?is)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
 _REFRESH = r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b"
 _TARGET = r"(?is)\burl\s*=\s*[\"']?([^\"'>\s]+)"
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 
 
 def host_of(url: Column) -> Column:
@@ -41,27 +43,76 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def alias_key(url: Column) -> Column:
+    """The url with scheme and host in lower case and without a fragment: urls with one key are one page."""
+    whole = F.regexp_replace(url, r"(?s)#.*$", "")
+    start = F.regexp_extract(whole, r"(?s)^.*?://[^/?#]*", 0)
+    lower = F.translate(start, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.concat(lower, F.substring(whole, F.length(start) + 1, F.length(whole)))
+
+
+def _without_dots(path: Column) -> Column:
+    """The path without ``.`` and ``..`` segments."""
+    parts = F.split(path, "/", -1)
+    last = F.element_at(parts, -1)
+    dots = F.array(F.lit("."), F.lit(".."))
+    start = F.array().cast("array<string>")
+    kept = F.aggregate(
+        F.slice(parts, F.lit(2), F.greatest(F.lit(0), F.size(parts) - 1)),
+        start,
+        lambda done, part: F.when(part == "..", F.slice(done, F.lit(1), F.greatest(F.lit(0), F.size(done) - 1)))
+        .when(part == ".", done)
+        .otherwise(F.array_append(done, part)),
+    )
+    kept = F.when(F.array_contains(dots, last), F.array_append(kept, F.lit(""))).otherwise(kept)
+    plain = ~path.rlike(r"(?:^|/)\.\.?(?:/|$)")
+    return F.when(plain, path).otherwise(F.concat(F.lit("/"), F.array_join(kept, "/")))
+
+
+def resolved(base: Column, target: Column) -> Column:
+    """The url that a link names on a page with the url ``base``; null if it names none, or only a place on the page."""
+    start = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*", 0)
+    path, query = path_of(base), F.regexp_extract(target, r"(?s)^[^?]*(\?.*)$", 1)
+    target_path = F.regexp_extract(target, r"(?s)^[^?#]*", 0)
+    folder = F.regexp_extract(path, r"(?s)^.*/", 0)
+    merged = F.concat(F.when(folder == "", F.lit("/")).otherwise(folder), target_path)
+    own_host = F.regexp_extract(target, r"(?s)^(?:[^:/?#]+:)?//[^/?#]*", 0)
+    scheme = F.regexp_extract(base, r"^[^:/?#]+:", 0)
+    return (
+        F.when((target == "") | target.startswith("#"), None)
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), F.concat(own_host, _without_dots(path_of(target)), query))
+        .when(target.rlike(_SCHEME), None)
+        .when(start == "", None)
+        .when(target.startswith("//"), F.concat(scheme, own_host, _without_dots(path_of(F.concat(F.lit("x:"), target))), query))
+        .when(target.startswith("/"), F.concat(start, _without_dots(target_path), query))
+        .when(target.startswith("?"), F.concat(start, path, target))
+        .otherwise(F.concat(start, _without_dots(merged), query))
+    )
+
+
+def _href(tag: Column) -> Column:
+    href = F.concat(*[F.regexp_extract(tag, _HREF, i) for i in (1, 2, 3)])
+    return F.replace(F.btrim(href, F.lit(" \t\n\f\r")), F.lit("&amp;"), F.lit("&"))
+
+
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``(url, target)`` for canonical links and refresh redirects in the markup.
 
-    Targets that start with ``/`` are taken on the page's own host, ``//`` with
-    its scheme; other relative targets name no url and are left out.
+    Relative targets are resolved against the first ``<base href>``, else the
+    page's own url, and lose their dot segments; a target with a scheme but no
+    ``://``, or that is only a fragment, names no url and is left out.
     """
     tags = F.regexp_extract_all(F.col(html), F.lit(_TAG), 0)
     tags = F.filter(tags, lambda tag: tag.rlike(_CANONICAL) | tag.rlike(_REFRESH))
     found = pages.where(F.col(url).isNotNull() & F.col(html).rlike(f"{_CANONICAL}|{_REFRESH}"))
-    found = found.select(F.col(url).alias("url"), F.explode(tags).alias("tag"))
-    href = F.concat(*[F.regexp_extract("tag", _HREF, i) for i in (1, 2, 3)])
-    target = F.when(F.col("tag").rlike(_CANONICAL), href).otherwise(F.regexp_extract("tag", _TARGET, 1))
-    target = F.replace(F.btrim(target, F.lit(" \t\n\f\r")), F.lit("&amp;"), F.lit("&"))
-    found = found.select("url", target.alias("target"))
-    scheme = F.regexp_extract("url", "^([^:/?#]+):", 1)
-    full = (
-        F.when(F.col("target").startswith("//"), F.concat(scheme, F.lit(":"), "target"))
-        .when(F.col("target").startswith("/"), F.concat(scheme, F.lit("://"), host_of(F.col("url")), "target"))
-        .when(F.col("target").contains("://"), F.col("target"))
-    )
-    return found.select("url", full.alias("target")).where("target IS NOT NULL AND target <> url")
+    found = found.select(F.col(url).alias("url"), _href(F.regexp_extract(html, _BASE, 0)).alias("base"), F.explode(tags).alias("tag"))
+    refresh = F.replace(F.regexp_extract("tag", _TARGET, 1), F.lit("&amp;"), F.lit("&"))
+    target = F.when(F.col("tag").rlike(_CANONICAL), _href(F.col("tag"))).otherwise(refresh)
+    # written between the steps, as Catalyst would set one long expression into the other many times over
+    found = materialize(found.select("url", "base", target.alias("target")), "raw-links")
+    found = materialize(found.select("url", F.coalesce(resolved(F.col("url"), F.col("base")), "url").alias("base"), "target"), "based-links")
+    found = materialize(found.select("url", resolved(F.col("base"), F.col("target")).alias("target")), "resolved-links")
+    return found.where(F.col("target").isNotNull() & (alias_key(F.col("target")) != alias_key(F.col("url"))))
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
@@ -109,13 +160,15 @@ def judge(
 
     ``links`` is an optional table ``(url, target)`` of more redirects, such as
     those seen while fetching. A target that is no page itself still ties its
-    group together, and its own rule counts. A null url, or one without
-    ``://``, has an empty host and path, no rule and the default verdict. Other
+    group together, and its own rule counts. Urls that differ only in the letter
+    case of scheme and host or in the fragment are aliases too. A null url, or
+    one without ``://``, has an empty host and path, no rule and the default verdict. Other
     columns are not looked at. An empty table gives no rows.
     """
     found = page_links(pages, url, html)
     if links is not None:
         found = found.unionByName(links.select("url", "target"))
+    found = found.select(alias_key(F.col("url")).alias("url"), alias_key(F.col("target")).alias("target"))
     found = materialize(found.distinct(), "url-links")
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"))
     rows = rows.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -130,7 +183,7 @@ def judge(
     spread = materialize(spread, "bad-urls")
 
     ruled = with_rule(rows, by_host)
-    ruled = ruled.join(spread, ruled.url == spread.bad_url, "left")
+    ruled = ruled.join(spread, alias_key(ruled.url) == spread.bad_url, "left")
     verdict = F.coalesce("verdict", F.when(F.col("bad_url").isNotNull(), F.lit("block")), F.lit(default))
     return ruled.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
 

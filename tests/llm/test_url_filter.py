@@ -1,3 +1,5 @@
+from urllib.parse import urljoin
+
 from pyspark.sql import functions as F
 
 from linewright.llm import url_filter
@@ -54,6 +56,35 @@ def test_block_reaches_aliases_but_not_allowed_pages(spark):
     assert verdicts == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "block"}
 
 
+def test_relative_targets_resolve_as_browsers_do(spark):
+    bases = ["http://a.net/x/y/z.html?q=1", "http://a.net", "https://A.net/", "http://a.net/x?u=/b/c", "http://a.net/x/y/"]
+    targets = ["page.html", "../p", "../../../p?a=b", "./", "..", "?id=1", "/", "/a/../b", "/a/./b/", "//c.net/d/e", "http://d.net", "p?x=../y", "a/b/../../c"]
+    rows = [(b, t) for b in bases for t in targets]
+    found = spark.createDataFrame(rows, "base string, target string").withColumn("got", url_filter.resolved(F.col("base"), F.col("target"))).collect()
+    assert {(r["base"], r["target"]): r["got"] for r in found} == {(b, t): urljoin(b, t) for b, t in rows}
+    dots = spark.createDataFrame([("https://a.net/", "//c.net/d/../e?x"), ("https://a.net/", "http://c.net/./d/..")], "base string, target string")
+    assert [r[0] for r in dots.select(url_filter.resolved(F.col("base"), F.col("target"))).collect()] == ["https://c.net/e?x", "http://c.net/"]
+    none = spark.createDataFrame([("http://a.net/", t) for t in ("", "#x", "mailto:a@b.net", None)] + [("x", "p")], "base string, target string")
+    assert [r[0] for r in none.select(url_filter.resolved(F.col("base"), F.col("target"))).collect()] == [None] * 5
+
+
+def test_relative_base_case_and_fragment_links(spark):
+    rows = [
+        (1, "http://a.com/de/1", None),
+        (2, "http://B.net/x/y", link("canonical", "z.html")),
+        (3, "http://b.net/x/z.html#part", link("refresh", "HTTP://A.com/de/1#top")),
+        (4, "http://c.net/p/q", "<base href='/r/s/'>" + link("canonical", "../t?a=1&amp;b=2")),
+        (5, "http://c.net/r/t?a=1&b=2", link("canonical", "//A.COM/de/1")),
+        (6, "http://c.net/r/t?a=1", link("canonical", "#here")),
+        (7, "http://c.net/r/q?n=2", link("canonical", "?n=1")),
+        (8, "http://c.net/r/q?n=1", link("refresh", "../../de/./x/../1")),
+        (9, "http://c.net/de/1#f", link("canonical", "http://a.com/x/../de/1")),
+        (10, "http://c.net/de/1?", link("canonical", "mailto:x@a.com")),
+    ]
+    verdicts = {k: v[-1] for k, v in judged(spark, rows).items()}
+    assert [k for k, v in verdicts.items() if v == "allow"] == [6, 10]
+
+
 def test_given_redirects_chain(spark):
     rows = [(i, f"http://h{i}.net/") for i in range(40)] + [(99, "http://x.com/de/")]
     links = [(f"http://h{i}.net/", f"http://h{i + 1}.net/") for i in range(29)] + [("http://x.com/de/", "http://h0.net/"), (None, "http://h35.net/")]

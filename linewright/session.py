@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _RUN_FOLDERS: dict[str, str] = {}
+#: The most rows and bytes that go to Python at once where rows hold whole texts.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -89,3 +91,17 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     they would end up in one task.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session now sends few rows and bytes at once to Python; smaller settings stay.
+
+    Rows of texts differ much in length, so a number of rows alone bounds nothing.
+    """
+    spark, prefix = df.sparkSession, "spark.sql.execution.arrow."
+    if not 0 < int(spark.conf.get(prefix + "maxRecordsPerBatch")) <= BATCH_ROWS:
+        spark.conf.set(prefix + "maxRecordsPerBatch", BATCH_ROWS)
+    in_bytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if in_bytes(spark.conf.get(prefix + "maxBytesPerBatch")) > BATCH_BYTES:
+        spark.conf.set(prefix + "maxBytesPerBatch", BATCH_BYTES)
+    return df

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import csv
 import io
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, StringType
+
+from linewright.session import small_batches
 
 # fixed values: the delimiters that are told apart
 DELIMITERS = "\t;,|"
+#: Fields that leave Python at once; so many characters more count as a field.
+MOST_FIELDS, FIELD_CHARS = 20_000, 64
 
 
 def vote_delimiter(text: Column) -> Column:
@@ -29,25 +32,43 @@ def vote_delimiter(text: Column) -> Column:
     )
 
 
-@pandas_udf(ArrayType(ArrayType(StringType())))
-def _records(texts: pd.Series, seps: pd.Series) -> pd.Series:
-    """The records of delimited texts; a quoted field may hold delimiters and line breaks."""
-
-    def read(text: str, sep: str) -> list[list[str]]:
-        # one field may be as long as the whole text
-        csv.field_size_limit(max(csv.field_size_limit(), len(text) + 1))
-        lines = (line for line in io.StringIO(text, newline=None) if line.strip())
-        return [record for record in csv.reader(lines, delimiter=sep) if any(f.strip() for f in record)]
-
-    return pd.Series([read(t, s) if t else [] for t, s in zip(texts, seps)], dtype=object)
+def _read(text: str, sep: str) -> Iterator[list[str]]:
+    """The records of a delimited text; a quoted field may hold delimiters and line breaks."""
+    # one field may be as long as the whole text
+    csv.field_size_limit(max(csv.field_size_limit(), len(text) + 1))
+    lines = (line for line in io.StringIO(text, newline=None) if line.strip())
+    return (record for record in csv.reader(lines, delimiter=sep) if any(f.strip() for f in record))
 
 
 def _placed(texts: DataFrame, sep: str | None) -> DataFrame:
-    cleaned = texts.withColumn("text", F.regexp_replace("text", "^\ufeff+", ""))
+    """``(file_id, width, record, fields)``: a row per record, with the width of the first one of its file."""
+    cleaned = small_batches(texts).withColumn("text", F.regexp_replace("text", "^\ufeff+", ""))
     cleaned = cleaned.withColumn("sep", vote_delimiter(F.col("text")) if sep is None else F.lit(sep))
-    records = cleaned.select("file_id", _records("text", "sep").alias("records"))
-    width = F.size(F.get("records", F.lit(0)))
-    return records.select("file_id", width.alias("width"), F.posexplode("records").alias("record", "fields"))
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # texts are taken one by one and records leave in small batches, so a worker never holds the fields of many texts
+        for batch in batches:
+            ids, at, widths, places, found, held = batch["file_id"], [], [], [], [], 0
+
+            def sent() -> pa.RecordBatch:
+                types = {"width": pa.int32(), "record": pa.int32(), "fields": pa.list_(pa.string())}
+                columns = [pa.array(v, t) for v, t in zip((widths, places, found), types.values())]
+                return pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *columns], ["file_id", *types])
+
+            for i, (text, by) in enumerate(zip(batch["text"], batch["sep"])):
+                width = None
+                for n, fields in enumerate(_read(text.as_py() or "", by.as_py())):
+                    width = len(fields) if width is None else width
+                    for column, value in ((at, i), (widths, width), (places, n), (found, fields)):
+                        column.append(value)
+                    held += len(fields) + sum(map(len, fields)) // FIELD_CHARS
+                    if held >= MOST_FIELDS:
+                        yield sent()
+                        at, widths, places, found, held = [], [], [], [], 0
+            yield sent()
+
+    file_id = cleaned.schema["file_id"].dataType.simpleString()
+    return cleaned.select("file_id", "text", "sep").mapInArrow(records, f"file_id {file_id}, width int, record int, fields array<string>")
 
 
 def text_cells(texts: DataFrame, sep: str | None = None) -> DataFrame:

@@ -183,3 +183,21 @@ def test_transform_hash_matches_sorted_json(spark):
     first = got['Насос "А"/Б\n']
     assert first.product_id == "prd_" + first.source_hash and first.normalized_brand == "grundfos"
     assert got["x"].product_id == "native"
+
+
+def test_long_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(grids, "MOST_FIELDS", 10)
+    for name in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{name}")
+    texts = spark.createDataFrame([(i, 'a,"b\nc",d\n' * 20 + "1,2,3,4\n") for i in range(30)] + [(30, None), (31, "")], "file_id long, text string")
+    values = grids.text_cells(texts, ",").groupBy("col", "value").count().collect()
+    assert {(r.col, r.value, r["count"]) for r in values} == {(0, "a", 600), (1, "b\nc", 600), (2, "d", 600)}
+    wide = grids.wide_records(texts, ",").collect()
+    assert {(r.file_id, r.record, len(r.fields)) for r in wide} == {(i, 20, 4) for i in range(30)}
+    long = spark.createDataFrame([(str(i), "x" * 1_000_000) for i in range(20)], "file_id string, text string").coalesce(1)
+
+    def rows(batches):
+        for batch in batches:
+            yield grids.pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    assert max(r.n for r in long.mapInArrow(rows, "n long").collect()) < 10

@@ -143,6 +143,30 @@ def test_nearest_vectors(spark, clustered):
     assert got == want
 
 
+def test_a_query_leaves_a_slice_with_its_best_only(spark):
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(900, 16))
+    items = spark.createDataFrame([(f"p{i:03d}", v.tolist()) for i, v in enumerate(base)], "product_id string, vector array<double>")
+    queries = items.selectExpr("product_id AS query_id", "vector").limit(60)
+    # 30 groups without order share one slice, so a query lists its 5 best, not some of each group
+    assert vectors._scored(queries, items, 900, 5, None).count() == 60 * 5
+    assert vectors._scored(queries, items, 900, 5, 300).count() <= 60 * 5 * 30
+
+
+def test_slices_hold_whole_cells_or_parts_of_one():
+    rng = np.random.default_rng(3)
+    pivots = rng.normal(size=(40, 4))
+    pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
+    counts = rng.integers(0, 60, 40)
+    counts[7], counts[8] = 950, 0
+    first, parts = vectors._slices(counts, pivots, 100)
+    assert parts[7] == 10 and parts.sum() == 49
+    held = np.zeros((first + parts).max())
+    for cell, n in enumerate(counts):
+        held[first[cell] : first[cell] + parts[cell]] += n / parts[cell]
+    assert held.max() <= 100 and held.sum() == counts.sum() and len(held) < 40
+
+
 def test_rerank(spark):
     rows = [("q", "a", 0.5, 1), ("q", "b", 0.4, 2), ("q", "c", 0.3, 3), ("r", "a", 0.2, 1)]
     candidates = spark.createDataFrame(rows, "query_id string, product_id string, rrf_score double, retrieval_rank int")

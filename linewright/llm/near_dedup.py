@@ -1,8 +1,9 @@
-"""Near-duplicates: by shingle similarity, and by SimHash with deletion-variant signatures.
+"""Near-duplicates by SimHash with deletion-variant signatures, and by shingle similarity.
 
-``groups`` and ``one_per_group`` link texts whose sets of five-word shingles
-have a Jaccard similarity of 0.8 or more (``shingle_pairs``). ``simhash_groups``
-is the digest contract of ``op3_near_dedup``, as follows.
+``simhash_groups`` is the digest contract of ``op3_near_dedup``, as follows.
+``groups`` and ``one_per_group`` link texts whose sets of five-word shingles have
+a Jaccard similarity of 0.8 or more (``shingle_pairs``), most of which differ in more
+bits than SimHash links, and with ``simhash_too`` also what SimHash links.
 
 Fingerprints of 64 bits that differ in at most 3 bits are linked. Cut in two
 halves, one half of such a pair differs in at most one bit. So each half is
@@ -152,27 +153,41 @@ def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
-def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """``(doc_id, component_id)``, one row per document, linked by shingle similarity; else as ``simhash_groups``."""
-    rows = in_small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), marks_of(words)(F.col(text)).alias("mark"))
-    rows = rows.select("doc_id", "text", "mark.*", F.monotonically_increasing_id().alias("at"))
+def simhash_links(rows: DataFrame) -> DataFrame:
+    """``(a, b)``: links that connect the sets ``digest`` whose texts are in one group of fingerprints ``fp``."""
+    sets = materialize(rows.select("digest", "fp").distinct(), "printed-sets")
+    joined = connected_components(linked_pairs(sets.select("fp").distinct()), "a", "b").withColumnRenamed("node", "fp")
+    named = sets.join(joined, "fp", "left").select("digest", F.coalesce("component", "fp").alias("component"))
+    least = named.groupBy("component").agg(F.min("digest").alias("b"))
+    return named.join(least, "component").where("digest <> b").select(F.col("digest").alias("a"), "b").distinct()
+
+
+def _links(rows: DataFrame, words: int, similarity: float, simhash_too: bool) -> DataFrame:
+    links = similar_links(rows, words, similarity)
+    return links.union(simhash_links(rows)) if simhash_too else links
+
+
+def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, simhash_too: bool = False) -> DataFrame:
+    """``(doc_id, component_id)``, one row per document, linked by shingle similarity, with ``simhash_too`` also as in ``simhash_groups``; else as there."""
+    rows = in_small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), marks_of(words)(F.col(text)).alias("mark"), (fingerprints(F.col(text)) if simhash_too else F.lit(None)).alias("fp"))
+    rows = rows.select("doc_id", "text", "mark.*", F.col("fp").cast("long").alias("fp"), F.monotonically_increasing_id().alias("at"))
     rows = materialize(rows, "marked-rows")  # the numbers hold from here on
-    ids = _group_heads(rows, F.col("doc_id"), "digest", lambda _: similar_links(rows, words, similarity))
+    ids = _group_heads(rows, F.col("doc_id"), "digest", lambda _: _links(rows, words, similarity, simhash_too))
     return rows.join(ids.withColumnRenamed("head", "component_id"), "digest").select("doc_id", "component_id")
 
 
-def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY, simhash_too: bool = False) -> DataFrame:
     """The rows of ``docs`` without near-duplicates, all columns as they were.
 
-    Of each group one row with the smallest id stays, or one without an id
+    They are linked as by ``groups``. Of each group one row with the smallest id stays, or one without an id
     where the group has none.
     """
-    mark, at = unused(docs, "mark", "at")
-    rows = in_small_batches(docs).withColumns({mark: marks_of(words)(F.col(text)), at: F.monotonically_increasing_id()})
+    mark, fp, at = unused(docs, "mark", "fp", "at")
+    rows = in_small_batches(docs).withColumns({mark: marks_of(words)(F.col(text)), fp: fingerprints(F.col(text)) if simhash_too else F.lit(None).cast("long"), at: F.monotonically_increasing_id()})
     rows = materialize(rows, "marked-rows")  # the numbers hold from here on
-    sets = rows.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(at).alias("at"), F.col(mark)["digest"].alias("digest"), F.col(mark)["size"].alias("size"), F.col(mark)["bits"].alias("bits"))
+    sets = rows.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(at).alias("at"), F.col(mark)["digest"].alias("digest"), F.col(mark)["size"].alias("size"), F.col(mark)["bits"].alias("bits"), F.col(fp).alias("fp"))
     least = F.struct(F.col("id").isNull().alias("unnamed"), "id", "at")
-    heads = _group_heads(sets, least, "digest", lambda _: similar_links(sets, words, similarity))
+    heads = _group_heads(sets, least, "digest", lambda _: _links(sets, words, similarity, simhash_too))
     stay = heads.select(F.col("head.at").alias(at)).distinct()
     gone = materialize(rows.select(at).join(stay, at, "left_anti"), "copies")
     # only texts that a map of the copies names have to move, to be told from them for certain

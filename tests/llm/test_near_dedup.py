@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from linewright.llm import near_dedup
 
 DOCS = "doc_id long, text string"
@@ -85,3 +86,14 @@ def test_empty_and_nameless(spark):
     nameless = spark.createDataFrame([(None, "a b c"), (None, "a b c")], DOCS)
     assert [r["component_id"] for r in near_dedup.groups(nameless).collect()] == [None, None]
     assert near_dedup.one_per_group(nameless).count() == 1
+
+
+def test_survivors_are_linked_by_simhash_too(spark):
+    # one refrain gives the fingerprint, so what follows it makes other sets of shingles only
+    refrain = " ".join(["a b c"] * 300)
+    rows = [(2, refrain), (1, refrain + " x y z p q r s t u v"), (8, "something else entirely")]
+    docs = spark.createDataFrame(rows, DOCS)
+    wanted = {r["doc_id"]: r["component_id"] for r in near_dedup.simhash_groups(docs).collect()}
+    assert wanted == {1: 1, 2: 1, 8: 8}
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.groups(docs, simhash_too=True).collect()} == wanted
+    assert sorted(r["doc_id"] for r in corpus_pipeline.dedup(spark, docs, "").collect()) == [1, 8]

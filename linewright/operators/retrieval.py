@@ -428,25 +428,42 @@ def lexical_matches(
     )
 
 
+def _signature(terms: Column) -> Column:
+    """A long with one of its bits set for each term; what holds all terms has all their bits."""
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(t), F.lit(64)).cast("int"))
+    return F.aggregate(terms, F.lit(0).cast("long"), lambda bits, t: bits.bitwiseOR(bit(t)))
+
+
 def text_matches(queries: DataFrame, documents: DataFrame, lexemes: DataFrame | None = None) -> DataFrame:
-    """``(query_id, product_id, text_rank)`` of documents that hold all terms of a query."""
+    """``(query_id, product_id, text_rank)`` of documents that hold all terms of a query.
+
+    Documents with the same text are looked at once. Of those that hold the
+    rarest term of a query, signatures leave out most of the others before
+    whole documents are read.
+    """
     queries = with_lexemes(queries.select("query_id", "text"), "text", "_l", lexemes)
     queries = queries.withColumn("terms", _terms(F.col("_l"))).drop("_l").filter(F.size("terms") > 0)
-    texts = documents.select(F.col("product_id").alias("class_id"), "search_document")
-    texts = with_lexemes(texts, "search_document", "_l", lexemes)
-    texts = texts.withColumn("positions", S.lexeme_positions(F.col("_l"))).drop("_l", "search_document")
-    postings, frequency = _term_postings(texts)
-    pairs = _term_candidates(_ordered_terms(queries, frequency), postings, None).distinct()
-    return (
-        pairs.join(queries.withColumnRenamed("query_id", "l_id"), "l_id")
+    asked = queries.select("query_id", "terms", _signature(F.col("terms")).alias("asked"))
+    documents = documents.filter("product_id is not null and search_document is not null")
+    named = documents.select(F.md5("search_document").alias("class_id"), "product_id")
+    texts = with_lexemes(documents.select("search_document").distinct(), "search_document", "_l", lexemes)
+    texts = texts.select(F.md5("search_document").alias("class_id"), S.lexeme_positions(F.col("_l")).alias("positions"))
+    texts = materialize(texts.withColumn("held", _signature(F.map_keys("positions"))), "texts")
+    frequency = materialize(term_rows(texts).groupBy("term").agg(F.count("*").alias("cnt")), "terms")
+    rows = texts.select(F.col("class_id").alias("r_id"), "held", F.explode(F.map_keys("positions")).alias("term"))
+    first = F.col("t")[0]
+    probes = _ordered_terms(queries, frequency).select(F.col("id").alias("l_id"), first["term"].alias("term"), first["cnt"].alias("cnt"))
+    probes = probes.join(asked.select(F.col("query_id").alias("l_id"), "asked"), "l_id")
+    pairs = _salted_join(probes, rows.join(frequency, "term"), "term").filter(F.col("held").bitwiseAND(F.col("asked")) == F.col("asked"))
+    found = (
+        pairs.select("l_id", "r_id")
+        .distinct()
+        .join(asked.withColumnRenamed("query_id", "l_id"), "l_id")
         .join(texts.withColumnRenamed("class_id", "r_id"), "r_id")
         .filter(F.forall("terms", lambda t: F.map_contains_key(F.col("positions"), t)))
-        .select(
-            F.col("l_id").alias("query_id"),
-            F.col("r_id").alias("product_id"),
-            F.round(S.text_rank(F.col("terms"), F.col("positions")), 9).alias("text_rank"),
-        )
+        .select(F.col("l_id").alias("query_id"), F.col("r_id").alias("class_id"), F.round(S.text_rank(F.col("terms"), F.col("positions")), 9).alias("text_rank"))
     )
+    return found.join(named, "class_id").select("query_id", "product_id", "text_rank")
 
 
 # --- vectors ---

@@ -122,6 +122,20 @@ def test_lexeme_lookup(spark):
     assert [r.product_id for r in row] == ["p"]
 
 
+def test_equal_texts_are_looked_at_once(spark, monkeypatch):
+    texts = ["pump red 5", "pump red 6", "valve red 5", None]
+    documents = [(f"p{i:03d}", texts[i % 4]) for i in range(400)] + [("p000", "pump red 5"), ("p000", "red pump 5"), (None, "pump red 5")]
+    documents = spark.createDataFrame(documents, "product_id string, search_document string")
+    queries = spark.createDataFrame([("a", "5 red pump"), ("b", "red valve"), ("c", "blue"), ("d", ""), (None, "red")], "query_id string, text string")
+    sides = []
+    plain = R._salted_join
+    monkeypatch.setattr(R, "_salted_join", lambda left, right, key: sides.append(right.count()) or plain(left, right, key))
+    found = sorted((r.query_id, r.product_id) for r in R.text_matches(queries, documents).collect())
+    pumps, valves = [f"p{i:03d}" for i in range(0, 400, 4)], [f"p{i:03d}" for i in range(2, 400, 4)]
+    assert found == sorted([("a", p) for p in [*pumps, "p000", "p000"]] + [("b", p) for p in valves])
+    assert sides == [4 * 3]  # three terms of four different texts, not of 400 products
+
+
 @pytest.mark.parametrize("clustered", [True, False])
 def test_nearest_vectors(spark, clustered):
     rng = np.random.default_rng(1)

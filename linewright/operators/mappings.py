@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # --- fixed values ---
@@ -19,23 +19,56 @@ def type_rank(column: str = "mapping_type"):
 
 
 def _flat(df: DataFrame) -> DataFrame:
-    """Turn the struct ``key`` into plain columns led by a hash.
+    """Turn the struct ``key`` into plain columns led by a hash; keys without a value go.
 
     Sorting for the aggregate and the join then compares numbers first; the
     columns themselves stay part of the key, so collisions do no harm.
     """
-    return df.select(
+    return df.filter("key.value is not null").select(
         F.xxhash64("supplier_id", "key.kind", "key.value").alias("hash"), F.col("key.kind").alias("kind"),
         F.col("key.value").alias("value"), *[c for c in df.columns if c != "key"],
     )
 
 
 KEY = ["hash", "supplier_id", "kind", "value"]
+#: Lines and mappings of one supplier beyond this many are spread over tasks by their keys.
+HOT_ROWS = 1_000_000
+#: Mappings of one task, which lays out up to four keys of each and as many lines again.
+TASK_ROWS = 250_000
+RAW, ARTICLE, TEXT = 0, 1, 2  # kinds of keys
 
 
-def _keys(**kinds):
-    rows = [F.struct(F.lit(kind).alias("kind"), value.alias("value")) for kind, value in kinds.items()]
-    return F.explode(F.filter(F.array(*rows), lambda r: r["value"].isNotNull()))
+def _keys(*kinds):
+    return F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), value.alias("value")) for kind, value in kinds]))
+
+
+def _best_entries(lines: DataFrame, mappings: DataFrame, asked: list[tuple], offered: list[tuple]) -> DataFrame:
+    """``(row, entry)``: each ``row`` of the lines with the least entry for each of its keys that has one.
+
+    Both sides hold ``supplier_id`` and the columns that ``asked`` and
+    ``offered`` name as ``(kind, column)``. A line and a mapping have several
+    keys, but one supplier. So each of them goes once to the task of its
+    supplier, and the keys are laid out there. Only suppliers with more than
+    ``HOT_ROWS`` rows send each key to a task of its own.
+    """
+    lines = lines.filter("supplier_id is not null")
+    mappings = mappings.filter("supplier_id is not null")
+    counts = lines.groupBy("supplier_id").count().unionAll(mappings.groupBy("supplier_id").count())
+    hot = F.broadcast(counts.groupBy("supplier_id").agg(F.sum("count").alias("n")).filter(F.col("n") > HOT_ROWS).select("supplier_id"))
+    laid = lambda df, keys, *others: _flat(df.select("supplier_id", _keys(*[(k, F.col(c)) for k, c in keys]).alias("key"), *others))
+
+    tasks = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), mappings.count() // TASK_ROWS + 1)
+    together = lines.unionByName(mappings, allowMissingColumns=True).join(hot, "supplier_id", "left_anti").repartition(tasks, "supplier_id")
+    is_mapping = F.col("entry").isNotNull()
+    values = [(k, F.when(is_mapping, F.col(c))) for k, c in offered] + [(k, F.when(~is_mapping, F.col(c))) for k, c in asked]
+    met = _flat(together.select("supplier_id", _keys(*values).alias("key"), "row", "entry"))
+    # the supplier is part of the key, so its rows need not move again
+    met = met.withColumn("best", F.min("entry").over(Window.partitionBy(*KEY)))
+    found = met.filter(~is_mapping & F.col("best").isNotNull()).select("row", F.col("best").alias("entry"))
+
+    few = laid(mappings.join(hot, "supplier_id", "left_semi"), offered, "entry").groupBy(*KEY).agg(F.min("entry").alias("entry"))
+    many = laid(lines.join(hot, "supplier_id", "left_semi"), asked, "row").join(few, KEY)
+    return found.unionByName(many.select("row", "entry"))
 
 
 def supplier_overrides(lines: DataFrame, mappings: DataFrame, empty_article: bool = False) -> DataFrame:
@@ -44,31 +77,25 @@ def supplier_overrides(lines: DataFrame, mappings: DataFrame, empty_article: boo
     Lines are ``(line_id, supplier_id, raw_text, n_text, article)``. A mapping
     applies when its SKU or raw text equals the raw text, its article equals
     the article of the line, or the normalized texts agree; exact mappings
-    come before approved, manual and learned ones. All four conditions are one
-    equality join on ``(supplier, kind, value)``. ``empty_article`` lets lines
+    come before approved, manual and learned ones. All four conditions are
+    equalities on ``(supplier, kind, value)``. ``empty_article`` lets lines
     without article meet mappings with an empty one.
     """
     article = F.coalesce("article", F.lit("")) if empty_article else F.nullif("article", F.lit(""))
-    wanted = lines.filter("supplier_id is not null").select(
-        "line_id",
-        "supplier_id",
-        _keys(sku=F.col("raw_text"), article=article, raw=F.col("raw_text"), text=F.col("n_text")).alias("key"),
+    wanted = lines.select(
+        "supplier_id", F.struct("line_id").alias("row"), F.col("raw_text").alias("w_raw"),
+        article.alias("w_article"), F.col("n_text").alias("w_text"),
     )
-    entry = F.struct(type_rank().alias("rank"), "mapping_id", "product_id", "mapping_type", "confidence")
-    # only the best mapping of a key can win, so a key brings one row into the join
-    offered = mappings.filter("is_active").select(
+    known = mappings.filter("is_active").select(
         "supplier_id",
-        entry.alias("entry"),
-        _keys(
-            sku=F.col("supplier_sku"),
-            article=F.col("supplier_article"),
-            raw=F.col("supplier_raw_text"),
-            text=F.col("normalized_supplier_text"),
-        ).alias("key"),
+        F.struct(type_rank().alias("rank"), "mapping_id", "product_id", "mapping_type", "confidence").alias("entry"),
+        "supplier_sku", "supplier_article", "supplier_raw_text", "normalized_supplier_text",
     )
-    offered = _flat(offered).groupBy(*KEY).agg(F.min("entry").alias("entry"))
-    hits = _flat(wanted).join(offered, KEY)
-    best = hits.groupBy(F.xxhash64("line_id").alias("h"), "line_id").agg(F.min("entry").alias("best"))
+    hits = _best_entries(
+        wanted, known, [(RAW, "w_raw"), (ARTICLE, "w_article"), (TEXT, "w_text")],
+        [(RAW, "supplier_sku"), (ARTICLE, "supplier_article"), (RAW, "supplier_raw_text"), (TEXT, "normalized_supplier_text")],
+    )
+    best = hits.select(F.col("row.line_id").alias("line_id"), "entry").groupBy("line_id").agg(F.min("entry").alias("best"))
     return best.select(
         "line_id",
         "best.product_id",
@@ -82,28 +109,23 @@ def supplier_overrides(lines: DataFrame, mappings: DataFrame, empty_article: boo
 def find_mapping(lookups: DataFrame, mappings: DataFrame) -> DataFrame:
     """First active mapping by one criterion: article if given, else normalized, else raw text."""
     given = lambda c: F.nullif(F.col(c), F.lit(""))
-    picked = lookups.withColumn(
-        "key",
-        F.when(given("article").isNotNull(), F.struct(F.lit("article").alias("kind"), F.col("article").alias("value")))
-        .when(
-            given("normalized_text").isNotNull(),
-            F.struct(F.lit("text").alias("kind"), F.col("normalized_text").alias("value")),
-        )
-        .when(given("raw_text").isNotNull(), F.struct(F.lit("raw").alias("kind"), F.col("raw_text").alias("value"))),
-    ).filter("key is not null")
-    offered = mappings.filter("is_active").select(
+    article, words, raw = given("article"), given("normalized_text"), given("raw_text")
+    picked = lookups.select(
         "supplier_id",
-        F.struct("mapping_id", "product_id", "mapping_type").alias("entry"),
-        _keys(
-            article=F.col("supplier_article"),
-            raw=F.col("supplier_raw_text"),
-            text=F.col("normalized_supplier_text"),
-        ).alias("key"),
+        F.struct("lookup_id").alias("row"),
+        article.alias("w_article"),
+        F.when(article.isNull(), words).alias("w_text"),
+        F.when(article.isNull() & words.isNull(), raw).alias("w_raw"),
+    ).filter("w_article is not null or w_text is not null or w_raw is not null")
+    known = mappings.filter("is_active").select(
+        "supplier_id", F.struct("mapping_id", "product_id", "mapping_type").alias("entry"),
+        "supplier_article", "supplier_raw_text", "normalized_supplier_text",
     )
-    offered = _flat(offered).groupBy(*KEY).agg(F.min("entry").alias("m"))
-    return _flat(picked.select("lookup_id", "supplier_id", "key")).join(offered, KEY).select(
-        "lookup_id", "m.mapping_id", "m.product_id", "m.mapping_type"
+    found = _best_entries(
+        picked, known, [(ARTICLE, "w_article"), (TEXT, "w_text"), (RAW, "w_raw")],
+        [(ARTICLE, "supplier_article"), (RAW, "supplier_raw_text"), (TEXT, "normalized_supplier_text")],
     )
+    return found.select("row.lookup_id", "entry.mapping_id", "entry.product_id", "entry.mapping_type")
 
 
 def list_mappings(mappings: DataFrame, supplier_id: str, limit: int = 50, offset: int = 0) -> DataFrame:

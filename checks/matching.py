@@ -219,17 +219,24 @@ LINES_SQL = """lines AS (SELECT DISTINCT l_orderkey || '-' || l_linenumber || '-
 
 
 def _lines(spark, sf):
-    l = table(spark, sf, "lineitem")
-    return l.select(
+    """One row per line; what is distinct is told by the few columns all others follow from."""
+    part = F.col("l_partkey").isNotNull()
+    told = table(spark, sf, "lineitem").select(
         F.concat_ws(
             "-", *[text(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
             F.concat("l_linestatus", F.round(F.col("l_tax") * 100).cast("int").cast("string")),
         ).alias("line_id"),
+        "l_partkey", "l_suppkey",
+        F.coalesce(part & (F.col("l_linestatus") == "O"), F.lit(False)).alias("as_sku"),
+        F.coalesce(F.col("l_tax") > 0.04, F.lit(False)).alias("with_article"),
+    ).distinct()
+    return told.select(
+        "line_id",
         F.concat(F.lit("S"), text("l_suppkey")).alias("supplier_id"),
-        F.concat(F.when(F.col("l_linestatus") == "O", "sku").otherwise("Line "), text("l_partkey")).alias("raw_text"),
+        F.concat(F.when(F.col("as_sku"), "sku").otherwise("Line "), text("l_partkey")).alias("raw_text"),
         F.concat(F.lit("line "), text("l_partkey")).alias("n_text"),
-        F.when(F.col("l_tax") > 0.04, F.lpad(text("l_partkey"), 8, "0")).otherwise("").alias("article"),
-    ).distinct()
+        F.when(F.col("with_article"), F.lpad(text("l_partkey"), 8, "0")).otherwise("").alias("article"),
+    )
 
 
 OVERRIDES = """hits AS (SELECT line_id, mapping_id, product_id, mapping_type, confidence,
@@ -591,7 +598,8 @@ SELECT line_id, CASE WHEN mapping_type IN ('exact', 'approved') THEN 'auto_match
 FROM lines LEFT JOIN override USING (line_id)"""))
 def e21(spark, sf):
     lines = _lines(spark, sf)
-    found = M.supplier_overrides(lines, mappings(spark, sf)).filter(F.col("mapping_type").isin("exact", "approved"))
+    # a line always has an id; said here, both uses of the hits ask for the same rows, which Spark then makes once
+    found = M.supplier_overrides(lines, mappings(spark, sf)).filter(F.col("mapping_type").isin("exact", "approved") & F.col("line_id").isNotNull())
     trace = F.struct(F.lit("supplier_override").alias("short_circuit"), "mapping_type")
     done = B.fixed_results(found.withColumnRenamed("line_id", "item_id"), "auto_match", SC.SUPPLIER_SCORE, B.OVERRIDE_REASON, "product_id", trace)
     done = done.select(F.col("item_id").alias("line_id"), F.col("status").alias("route"), "confidence", F.col("best_product_id").alias("product_id"))

@@ -169,30 +169,42 @@ def best_per_item(decided: DataFrame, alternatives: int = 5) -> DataFrame:
     Higher score first, then better retrieval rank. A group is one item's
     reranked candidates, at most ``rerank_top_n`` rows.
     """
-    alternative = F.struct(
-        "product_id", "name", "article", "brand", "retrieval_rank", "lexical_score", "semantic_score",
-        "rerank_score", (F.col("bonus") + F.col("penalty")).alias("rules_score"), "final_score", "reasons",
+    rules = (F.col("bonus") + F.col("penalty")).alias("rules_score")
+    listed = [
+        "retrieval_rank", "product_id", "status", "final_score", "category_path", "name", "article", "brand",
+        "lexical_score", "semantic_score", "rerank_score",
+    ]
+    traced = ["base_score", "bonus", "penalty", "short_circuit", "auto_match_forbidden"]
+    columns = list(dict.fromkeys(["item_id", *listed, "reasons", *traced, *scoring.FEATURES]))
+    # rows move as plain columns, each once, and only those a caller reads; a partial list would save nothing
+    rows = decided.select(*columns).repartition("item_id").withColumn("order_score", -F.col("final_score"))
+    place = F.struct("order_score", *listed, rules, "reasons")
+    grouped = rows.groupBy("item_id").agg(
+        F.sort_array(F.collect_list(place)).alias("ranked"),
+        F.min(F.struct(place.alias("place"), *traced, F.struct(*scoring.FEATURES).alias("features"))).alias("first"),
     )
-    trace = F.struct(
-        "base_score", "bonus", "penalty", "final_score", "short_circuit", "auto_match_forbidden",
-        F.struct(*scoring.FEATURES).alias("features"),
-        F.struct("status", F.col("final_score").alias("confidence")).alias("decision"),
+    best, first = F.col("ranked")[0], F.col("first")
+    alternative = lambda r: F.struct(
+        *[r[c].alias(c) for c in (
+            "product_id", "name", "article", "brand", "retrieval_rank", "lexical_score", "semantic_score",
+            "rerank_score", "rules_score", "final_score", "reasons",
+        )]
     )
-    entry = F.struct(
-        (-F.col("final_score")).alias("order_score"), "retrieval_rank", "product_id", "status", "final_score",
-        "category_path", alternative.alias("alternative"), trace.alias("trace"),
+    score = first["place"]["final_score"]
+    trace = F.struct(
+        *[first[c].alias(c) for c in traced[:3]], score.alias("final_score"), *[first[c].alias(c) for c in traced[3:]],
+        first["features"].alias("features"),
+        F.struct(first["place"]["status"].alias("status"), score.alias("confidence")).alias("decision"),
     )
-    grouped = decided.groupBy("item_id").agg(F.sort_array(F.collect_list(entry)).alias("ranked"))
-    best = F.col("ranked")[0]
     return grouped.select(
         "item_id",
         best["status"].alias("status"),
         best["final_score"].alias("confidence"),
         best["product_id"].alias("best_product_id"),
-        best["alternative"]["name"].alias("best_name"),
-        best["alternative"]["reasons"].alias("reasons"),
-        F.transform(F.slice("ranked", 1, alternatives), lambda r: r["alternative"]).alias("alternatives"),
-        F.to_json(best["trace"]).alias("trace"),
+        best["name"].alias("best_name"),
+        best["reasons"].alias("reasons"),
+        F.transform(F.slice("ranked", 1, alternatives), alternative).alias("alternatives"),
+        F.to_json(trace).alias("trace"),
         F.size("ranked").alias("candidates_reranked"),
     )
 

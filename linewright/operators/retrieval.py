@@ -33,6 +33,8 @@ def exact_matches(queries: DataFrame, catalog: DataFrame) -> DataFrame:
     # one equality join over all three fields; an OR of conditions could not be hashed
     fields = F.array_distinct(F.array_compact(F.array("article", "code", "manufacturer_code")))
     keyed = active.select("product_id", F.explode(fields).alias("hint"))
+    # a code shared by many products and queries makes far more pairs than rows; a catalog of few files gave them to few tasks
+    keyed = spread(keyed, "product_id")
     return hints.join(keyed, "hint").select("query_id", "product_id").distinct()
 
 

@@ -343,6 +343,14 @@ def _union(parts: list[DataFrame | None]) -> DataFrame:
     return reduce(DataFrame.unionByName, [p for p in parts if p is not None])
 
 
+def _within_reach(listed: DataFrame, cap: int) -> DataFrame:
+    """The classes of a query that can still enter its list: better ones do not fill it with their members."""
+    down = Window.partitionBy("query_id").orderBy(F.desc("lex_score"))
+    peers = F.sum("members").over(Window.partitionBy("query_id", "lex_score"))
+    ahead = F.sum("members").over(down) - peers  # equal scores share a running sum
+    return listed.withColumn("_ahead", ahead).filter(F.col("_ahead") < cap).drop("_ahead")
+
+
 def lexical_matches(
     queries: DataFrame,
     index: CatalogIndex,
@@ -420,9 +428,9 @@ def lexical_matches(
         parts.append(round_of(remaining, None))
 
     ranked = Window.partitionBy("query_id").orderBy(F.desc("lex_score"), "product_id")
+    listed = _within_reach(_union(parts).select("query_id", "class_id", "members", "lex_score"), cap)
     return (
-        _union(parts)
-        .select("query_id", "class_id", "lex_score")
+        listed.select("query_id", "class_id", "lex_score")
         .join(index.members, "class_id")
         .withColumn("lex_rank", F.row_number().over(ranked))
         .filter(F.col("lex_rank") <= cap)

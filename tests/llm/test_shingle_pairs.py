@@ -92,3 +92,47 @@ def test_what_is_not_on_the_map_is_not_among_the_values(spark, monkeypatch):
     named, others = shingle_pairs.split_by(spark.range(600).selectExpr("id", "'x' AS bits"), shingle_pairs.map_of(values, "id"), "id")
     assert {r["id"] for r in values.collect()} <= {r["id"] for r in named.collect()}
     assert named.count() + others.count() == 600 and others.count() > 100
+
+
+def _marked(spark, rows):
+    table = spark.createDataFrame(rows, DOCS).select("doc_id", "text", shingle_pairs.marks_of(5)("text").alias("mark"))
+    return table.selectExpr("doc_id AS at", "text", "mark.digest", "mark.size", "mark.bits")
+
+
+def _seen(monkeypatch):
+    """How many rows each written table has, by its label."""
+    rows, write = {}, shingle_pairs.materialize
+
+    def counted(df, label):
+        table = write(df, label)
+        rows.setdefault(label, []).append(table.count())
+        return table
+
+    monkeypatch.setattr(shingle_pairs, "materialize", counted)
+    return rows
+
+
+def test_heads_of_all_texts_are_made_once_and_copies_do_not_meet(spark, monkeypatch):
+    """A template that the small sample misses costs no second pass, and a head that only exact copies share is not kept."""
+    monkeypatch.setattr(shingle_pairs, "COMMON_LEAST", 10**9)
+    seen = _seen(monkeypatch)
+    template = " ".join(f"t{i}" for i in range(24))
+    rows = [(i, f"{template} " + " ".join(f"w{i}x{j}" for j in range(20))) for i in range(600)]
+    rows += [(1_000 + i, text) for i, text in rows[:200]]
+    shared, _ = shingle_pairs._shared_heads(_marked(spark, rows), 5, 0.8, 600)
+    assert seen["set-heads"] == [800] and shared.count() < 50
+
+
+def test_unlike_sets_of_a_crowded_shingle_do_not_become_pairs(spark, monkeypatch):
+    """Texts alike in nothing but a frame; the few that are alike are still linked."""
+    monkeypatch.setattr(shingle_pairs, "COMMON_LEAST", 10**9)
+    monkeypatch.setattr(shingle_pairs, "SHOWN", 0)  # nothing is put last, so the frame stays crowded
+    frame = " ".join(f"t{i}" for i in range(60))
+    rows = [(i, f"{frame} " + " ".join(f"w{i}x{j}" for j in range(60))) for i in range(300)]
+    rows += [(900 + i, text.replace(f"w{i}x59", "other")) for i, text in rows[:5]]
+    marked = _marked(spark, rows)
+    seen = _seen(monkeypatch)
+    links = {frozenset((r["a"], r["b"])) for r in shingle_pairs.similar_links(marked, 5, 0.8).collect()}
+    digests = {r["at"]: r["digest"] for r in marked.collect()}
+    assert links == {frozenset((digests[i], digests[900 + i])) for i in range(5)}
+    assert sum(seen["crowd"]) > 300 and sum(seen["crowd-pairs"]) < 300

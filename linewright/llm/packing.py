@@ -149,13 +149,14 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
     return plan
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, order: str | None = None) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to pieces with ``length`` from 1 to ``capacity``.
 
     Only the histogram, of at most ``capacity`` rows, reaches the driver, and
     the plan, of the same order, goes back as a table. A length of any count is
     ranked in slices. Repeated rows are pieces of their own; no pieces give no
-    rows.
+    rows. Pieces of a length take their slots by ``doc_id``, or by the column
+    ``order``; then sequences are also numbered by the least of it that they hold.
     """
     spark = pieces.sparkSession
     columns = pieces.columns
@@ -164,19 +165,37 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     plan = best_fit_plan(counts, capacity)
     steps = spark.createDataFrame(plan, "p_length long, first_rank long, n long, sequence long, offset long")
     ties = [c for c in ("piece", "start", "ids_crc32") if c in columns]
-    ranked = running_position(pieces, ["length"], "doc_id", "rank", ties=ties)
+    ranked = running_position(pieces, ["length"], order or "doc_id", "rank", ties=["doc_id"] * bool(order) + ties)
     slot = F.broadcast(steps)  # bounded by the capacity, not by the corpus
     within = F.col("rank").between(F.col("first_rank"), F.col("first_rank") + F.col("n") - 1)
     placed = ranked.join(slot, (ranked.length == slot.p_length) & within)
-    return placed.select(*columns, (F.col("sequence") + F.col("rank") - F.col("first_rank")).alias("sequence_id"), "offset")
+    placed = placed.select(*columns, (F.col("sequence") + F.col("rank") - F.col("first_rank")).alias("sequence_id"), "offset")
+    return _renumbered(materialize(placed, "placed"), order) if order else placed
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def _renumbered(placed: DataFrame, order: str) -> DataFrame:
+    """``placed`` with its sequences numbered from zero by the least ``order`` in them."""
+    first = placed.groupBy(F.col("sequence_id").alias("opened")).agg(F.min(order).alias("least"))
+    numbers = running_position(first, [], "least", "number", ties=["opened"]).select("opened", (F.col("number") - 1).alias("number"))
+    joined = placed.join(numbers, F.col("sequence_id") == F.col("opened"))
+    return joined.select(*[F.col("number").alias(c) if c == "sequence_id" else F.col(c) for c in placed.columns])
+
+
+def pack_documents(
+    docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, places: DataFrame | None = None
+) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32, sequence_id, offset)``, one row per piece.
 
-    Other columns are not looked at. An empty table gives no rows.
+    Other columns are not looked at. An empty table gives no rows. With
+    ``places``, ``(doc_id, at)``, sequences follow the order of ``at``.
     """
-    return pack(tokenized_pieces(docs, vocabulary, doc_id, text, capacity), capacity)
+    pieces = tokenized_pieces(docs, vocabulary, doc_id, text, capacity)
+    if places is None:
+        return pack(pieces, capacity)
+    # one place an id, so no piece comes twice
+    at = places.groupBy(F.col("doc_id").cast("long").alias("placed_id")).agg(F.min("at").alias("at"))
+    pieces = pieces.join(at, pieces.doc_id.eqNullSafe(at.placed_id), "left").drop("placed_id")
+    return pack(pieces, capacity, "at").drop("at")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -234,6 +234,48 @@ def mixed(
     return kept.where(F.col(whole) | (order_key(docs[doc_id]) <= F.col(last_key))).select(*docs.columns)
 
 
+def places(
+    docs: DataFrame,
+    weights: dict[str, float] | None = None,
+    doc_id: str = "doc_id",
+    source: str = "source",
+    max_share: float = MAX_SHARE,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """``(doc_id, source, at)``: where the documents of the mix stand in it, counted over whole turns from zero.
+
+    Rows that share id and source are one row here, at the place of the first of them.
+    """
+    mix = plan(docs, weights, doc_id, source, max_share, block_rows).where("in_mix")
+    at = F.min(F.col("slot") * _turn_rows(block_rows) + F.col("place")).alias("at")
+    return mix.groupBy("doc_id", "source").agg(at)
+
+
+def in_order(
+    docs: DataFrame,
+    weights: dict[str, float] | None = None,
+    doc_id: str = "doc_id",
+    source: str = "source",
+    max_share: float = MAX_SHARE,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """The rows of ``mixed`` in the order of the schedule, slot by slot, all columns as they were.
+
+    Partitions, and so the files they are written to, follow each other in the
+    mixture. Rows that share id and source stand together. The schedule is made
+    of ids and sources alone; texts move twice, to meet their place and to go
+    there.
+    """
+    placed = materialize(places(docs, weights, doc_id, source, max_share, block_rows), "mix-places")
+    end = (placed.agg(F.max("at")).first()[0] or 0) + 1
+    named, origin, place = unused(docs, "named", "origin", "at")
+    placed = placed.select(F.col("doc_id").alias(named), F.col("source").alias(origin), F.col("at").alias(place))
+    same = docs[doc_id].eqNullSafe(placed[named]) & docs[source].eqNullSafe(placed[origin])
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.floor(F.col(place) * parts / end).cast("int")  # places are dense, so parts are even
+    return docs.join(placed, same).repartitionById(parts, part).sortWithinPartitions(place, named).select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -283,7 +283,9 @@ def _reviews(spark, sf):
 
 
 def _resolved(spark, sf):
-    return V.resolve_reviews(_reviews(spark, sf), items(spark, sf).dropDuplicates(["request_item_id"]), catalog(spark, sf))
+    # ids hardly repeat: sent to their task first, items are not sorted by id in large files only to find no copies there
+    one_item = items(spark, sf).repartition("request_item_id").dropDuplicates(["request_item_id"])
+    return V.resolve_reviews(_reviews(spark, sf), one_item, catalog(spark, sf))
 
 
 @query("F19_apply_reviews", with_sql(ITEMS, CATALOG, REVIEWS, body="""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linewright.operators import normalize as N
 from linewright.operators.reporting import paged
+from linewright.session import materialize
 
 
 def review_queue(items: DataFrame, requests: DataFrame, supplier_id: str | None = None, page: int = 1, page_size: int = 50):
@@ -45,23 +46,31 @@ def resolve_reviews(reviews: DataFrame, items: DataFrame, catalog: DataFrame) ->
 
     An acceptance without product takes the best one; a correction must name a
     catalog product. Reviews of unknown items and bad corrections drop out.
+    The few products that corrections name are compared with the catalog first,
+    so reviews need not move to their product.
     """
+    reviews = _good_corrections(reviews.withColumnRenamed("final_decision", "decision"), catalog)
     item = items.select(
         "request_item_id", "request_id", "raw_text", "normalized_text", "best_product_id", "confidence", "status"
     )
-    known = catalog.select(F.col("product_id").alias("settled_product_id"), F.lit(True).alias("_known")).distinct()
     given = F.nullif(F.col("final_product_id"), F.lit(""))
     settled = F.when(F.col("decision") == "accepted", F.coalesce(given, F.col("best_product_id"))).otherwise(
         F.col("final_product_id")
     )
-    rows = (
-        reviews.withColumnRenamed("final_decision", "decision")
-        .join(item, "request_item_id")
-        .withColumn("settled_product_id", settled)
-        .join(known, "settled_product_id", "left")
-    )
-    bad = (F.col("decision") == "corrected") & F.coalesce(F.col("settled_product_id") != "", F.lit(False)) & F.col("_known").isNull()
-    return rows.filter(~bad).drop("_known")
+    rows = reviews.join(item, "request_item_id").withColumn("settled_product_id", settled)
+    return rows.select("settled_product_id", *[c for c in rows.columns if c != "settled_product_id"])
+
+
+def _good_corrections(reviews: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Reviews without the corrections to a product that the catalog does not have; no decision counts as one."""
+    corrected = F.coalesce(F.col("decision") == "corrected", F.lit(True))
+    named = corrected & F.coalesce(F.col("final_product_id") != "", F.lit(False))
+    asked = reviews.filter(named).select(F.col("final_product_id").alias("_asked")).distinct()
+    known = catalog.select(F.col("product_id").alias("_asked"))
+    # written, so that Spark knows its size when it plans what follows
+    unknown = materialize(asked.join(known, "_asked", "left_anti"), "unknown-products")
+    corrections = reviews.filter(named).join(unknown, F.col("final_product_id") == F.col("_asked"), "left_anti")
+    return corrections.unionByName(reviews.filter(~named))
 
 
 def apply_reviews(items: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -125,7 +134,12 @@ def derived_aliases(resolved: DataFrame) -> DataFrame:
 
 
 def derived_mappings(resolved: DataFrame, requests: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Approved mappings from reviews that ask for one; one per supplier and raw text."""
+    """Approved mappings from reviews that ask for one; one per supplier and raw text.
+
+    They are normalized where they are: moving all of them to their text, and
+    making the texts by the same joins once more, costs more than to work on
+    the text of several suppliers several times.
+    """
     rows = resolved.filter(F.col("create_supplier_mapping") & _has_product()).join(
         requests.select("request_id", "supplier_id").filter("supplier_id is not null and supplier_id != ''"), "request_id"
     )
@@ -137,10 +151,10 @@ def derived_mappings(resolved: DataFrame, requests: DataFrame, existing: DataFra
     if existing is not None:
         taken = existing.select("supplier_id", F.col("supplier_raw_text").alias("raw_text")).distinct()
         last = last.join(taken, ["supplier_id", "raw_text"], "left_anti")
-    return _normalized(last).select(
+    return N.normalize(last, "raw_text").select(
         "supplier_id",
         F.col("raw_text").alias("supplier_raw_text"),
-        F.col("_normalized").alias("normalized_supplier_text"),
+        F.coalesce(F.nullif("n_text", F.lit("")), "raw_text").alias("normalized_supplier_text"),
         F.col("r.settled_product_id").alias("product_id"),
         F.lit("approved").alias("mapping_type"),
         F.nullif(F.col("r.confidence").cast("double"), F.lit(0.0)).alias("confidence"),

@@ -218,10 +218,10 @@ LINES_SQL = """lines AS (SELECT DISTINCT l_orderkey || '-' || l_linenumber || '-
   CASE WHEN l_tax > 0.04 THEN lpad(CAST(l_partkey AS VARCHAR), 8, '0') ELSE '' END AS article FROM lineitem)"""
 
 
-def _lines(spark, sf):
-    """One row per line; what is distinct is told by the few columns all others follow from."""
+def _told(spark, sf):
+    """The few columns of lines all others follow from, copies too."""
     part = F.col("l_partkey").isNotNull()
-    told = table(spark, sf, "lineitem").select(
+    return table(spark, sf, "lineitem").select(
         F.concat_ws(
             "-", *[text(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
             F.concat("l_linestatus", F.round(F.col("l_tax") * 100).cast("int").cast("string")),
@@ -229,7 +229,15 @@ def _lines(spark, sf):
         "l_partkey", "l_suppkey",
         F.coalesce(part & (F.col("l_linestatus") == "O"), F.lit(False)).alias("as_sku"),
         F.coalesce(F.col("l_tax") > 0.04, F.lit(False)).alias("with_article"),
-    ).distinct()
+    )
+
+
+def _lines(spark, sf):
+    """One row per line."""
+    return _written_out(_told(spark, sf).distinct())
+
+
+def _written_out(told):
     return told.select(
         "line_id",
         F.concat(F.lit("S"), text("l_suppkey")).alias("supplier_id"),
@@ -597,12 +605,16 @@ SELECT line_id, CASE WHEN mapping_type IN ('exact', 'approved') THEN 'auto_match
   CASE WHEN mapping_type IN ('exact', 'approved') THEN 0.995 END AS confidence, CASE WHEN mapping_type IN ('exact', 'approved') THEN product_id END AS product_id
 FROM lines LEFT JOIN override USING (line_id)"""))
 def e21(spark, sf):
-    lines = _lines(spark, sf)
+    told = _told(spark, sf)
+    # of copies of a line the best mapping is the same, so they need not be told apart to find it
+    found = M.supplier_overrides(_written_out(told), mappings(spark, sf), up_to="approved")
     # a line always has an id; said here, both uses of the hits ask for the same rows, which Spark then makes once
-    found = M.supplier_overrides(lines, mappings(spark, sf)).filter(F.col("mapping_type").isin("exact", "approved") & F.col("line_id").isNotNull())
+    found = found.filter(F.col("mapping_type").isin("exact", "approved") & F.col("line_id").isNotNull())
     trace = F.struct(F.lit("supplier_override").alias("short_circuit"), "mapping_type")
     done = B.fixed_results(found.withColumnRenamed("line_id", "item_id"), "auto_match", SC.SUPPLIER_SCORE, B.OVERRIDE_REASON, "product_id", trace)
     done = done.select(F.col("item_id").alias("line_id"), F.col("status").alias("route"), "confidence", F.col("best_product_id").alias("product_id"))
+    # one move by id serves both the distinct rows and the comparison
+    lines = told.repartition("line_id").distinct()
     rest = lines.join(found.select("line_id"), "line_id", "left_anti").select("line_id", F.lit("scored").alias("route"))
     return done.unionByName(rest, allowMissingColumns=True)
 

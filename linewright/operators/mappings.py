@@ -34,7 +34,7 @@ KEY = ["hash", "supplier_id", "kind", "value"]
 #: Lines and mappings of one supplier beyond this many are spread over tasks by their keys.
 HOT_ROWS = 1_000_000
 #: Mappings of one task, which lays out up to four keys of each and as many lines again.
-TASK_ROWS = 250_000
+TASK_ROWS = 50_000
 RAW, ARTICLE, TEXT = 0, 1, 2  # kinds of keys
 
 
@@ -71,7 +71,7 @@ def _best_entries(lines: DataFrame, mappings: DataFrame, asked: list[tuple], off
     return found.unionByName(many.select("row", "entry"))
 
 
-def supplier_overrides(lines: DataFrame, mappings: DataFrame, empty_article: bool = False) -> DataFrame:
+def supplier_overrides(lines: DataFrame, mappings: DataFrame, empty_article: bool = False, up_to: str | None = None) -> DataFrame:
     """The best active mapping per line: ``(line_id, product_id, mapping_type, confidence)``.
 
     Lines are ``(line_id, supplier_id, raw_text, n_text, article)``. A mapping
@@ -79,14 +79,19 @@ def supplier_overrides(lines: DataFrame, mappings: DataFrame, empty_article: boo
     the article of the line, or the normalized texts agree; exact mappings
     come before approved, manual and learned ones. All four conditions are
     equalities on ``(supplier, kind, value)``. ``empty_article`` lets lines
-    without article meet mappings with an empty one.
+    without article meet mappings with an empty one. ``up_to`` names the last
+    type that is of use: only lines whose best mapping is of that type or one
+    before it are given. Later types never win over those, so they stay behind.
     """
     article = F.coalesce("article", F.lit("")) if empty_article else F.nullif("article", F.lit(""))
     wanted = lines.select(
         "supplier_id", F.struct("line_id").alias("row"), F.col("raw_text").alias("w_raw"),
         article.alias("w_article"), F.col("n_text").alias("w_text"),
     )
-    known = mappings.filter("is_active").select(
+    active = mappings.filter("is_active")
+    if up_to is not None:
+        active = active.filter(type_rank() <= TYPE_RANK[up_to])
+    known = active.select(
         "supplier_id",
         F.struct(type_rank().alias("rank"), "mapping_id", "product_id", "mapping_type", "confidence").alias("entry"),
         "supplier_sku", "supplier_article", "supplier_raw_text", "normalized_supplier_text",

@@ -74,3 +74,41 @@ def test_a_row_moves_once_for_all_its_keys(world):
     plan = M.supplier_overrides(world[2], world[3])._jdf.queryExecution().executedPlan().toString()
     moved = plan.index("Exchange hashpartitioning(supplier_id")
     assert "Generate explode" in plan[:moved] and "REPARTITION_BY_NUM" in plan[moved : moved + 200]
+
+
+def test_types_of_no_use_stay_behind(world):
+    """Without the later types the lines whose best mapping is of an early one are as before."""
+    lines, known, left, right = world
+    everything = {tuple(r) for r in M.supplier_overrides(left, right).collect()}
+    for last, types in (("exact", ("exact",)), ("approved", ("exact", "approved")), ("learned", tuple(M.TYPE_RANK))):
+        found = [tuple(r) for r in M.supplier_overrides(left, right, up_to=last).collect()]
+        assert len(found) == len(set(found)) and set(found) == {r for r in everything if r[2] in types}
+
+
+def test_merge_of_overrides_with_copies_and_nulls(spark, tmp_path):
+    """A line of which there are copies is given once, and moves to its supplier and to its id, nowhere else."""
+    import re
+
+    from checks import matching
+    from checks.common import QUERIES, mappings
+
+    dice = random.Random(3)
+    one = lambda *values: dice.choice([*values, None])
+    rows = [
+        (one(1, 2, 3, 4, 5), one(1, 2, 3), one(1, 2), one(1, 2), float(dice.randint(1, 50)), one(0.0, 0.1), one(0.02, 0.08), one("A", "R", "N"), one("O", "F"))
+        for _ in range(80)
+    ]
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"
+    table = spark.createDataFrame(rows + rows[:30], schema).selectExpr("*", "timestamp'2024-01-01' as l_shipdate")
+    table.write.parquet(f"{tmp_path}/lineitem.parquet")
+    lines = matching._lines(spark, str(tmp_path)).collect()
+    best = {r["line_id"]: r for r in M.supplier_overrides(matching._lines(spark, str(tmp_path)), mappings(spark, str(tmp_path))).collect()}
+    done = {i: r for i, r in best.items() if r["mapping_type"] in ("exact", "approved")}
+    wanted = [(i, "auto_match", r["product_id"]) for i, r in done.items()] + [(r["line_id"], "scored", None) for r in lines if r["line_id"] not in done]
+    merged = QUERIES["E21_override_merge"](spark, str(tmp_path))
+    found = [(r["line_id"], r["route"], r["product_id"]) for r in merged.collect()]
+    key = lambda r: tuple(map(str, r))
+    assert sorted(found, key=key) == sorted(wanted, key=key) and done and len(done) < len(found)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    moved = re.findall(r"Exchange hashpartitioning\((\w+)[^,]*, (\w+)", plan)
+    assert not [m for m in moved if m[1].startswith("l_")], "lines move by all their columns"
